@@ -151,3 +151,27 @@ def wrong_global_df(index_globals: DataFrame, postings: DataFrame, partitions: i
     true = document_frequencies(postings, partitions, chunk_rows)
     got = stated.join(true, ["build_id", "term"], "left").filter(F.col("global_df") != F.coalesce(F.col("df"), F.lit(0)))
     return got.select("build_id", "shard", "term").distinct()
+
+
+def lookup_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], count_col: str | None = None, min_rows: int = 1_000_000, most: int = 10_000
+) -> DataFrame:
+    """Left outer join of ``left`` with a lookup table that has one row per key, safe from heavy keys.
+
+    A key with more than ``max(min_rows, rows / most)`` rows on the left is heavy; there can be no more
+    than ``most`` of them, so their lookup rows are broadcast with a proven bound. The remaining keys are
+    joined by shuffle, and none of them can dominate a task. ``count_col`` of ``right`` states the rows
+    per key where they are known already; otherwise they are counted. Null keys match nothing.
+    """
+    on = list(on)
+    cnt, hit = _fresh("_cnt", [*left.columns, *right.columns]), _fresh("_hit", [*left.columns, *right.columns])
+    if count_col is None:
+        known = right.join(left.groupBy(*on).agg(F.count(F.lit(1)).alias(cnt)), on)
+    else:
+        known = right.withColumn(cnt, F.col(count_col))
+    limit = F.greatest(F.lit(min_rows), F.coalesce(known.agg((F.sum(cnt) / F.lit(most)).cast("long")).scalar(), F.lit(0)))
+    heavy = F.broadcast(known.filter(F.col(cnt) > limit).drop(cnt).withColumn(hit, F.lit(True)))
+    first = left.join(heavy, on, "left").filter(F.col(hit)).drop(hit)
+    rest = left.join(F.broadcast(known.filter(F.col(cnt) > limit).select(*on)), on, "left_anti")
+    rest = rest.join(known.filter(F.col(cnt) <= limit).drop(cnt), on, "left")
+    return first.unionByName(rest)
