@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import distinctive, frequency, topn
+from postloom.llm import distinctive, encode, frequency, leakage, markup, topn
 from postloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,25 @@ def p2_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return _frequencies(spark, d).select("build_id", "field", "entry", "occurrences", "records", "rare", "common")
 
 
+# ---- 3: markup residue ----------------------------------------------------------------------------
+
+
+@query
+def p3_method(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of one name space stand for the pages of one host: the table states no address."""
+    return markup.induce_wrappers(table(spark, d, "stream_articles"), "page_id", "ns", "text")
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.markup_kinds(table(spark, d, "stream_articles"))
+
+
+@query
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_texts(table(spark, d, "stream_articles"))
+
+
 # ---- 4: top N items within every group -----------------------------------------------------------
 
 
@@ -65,3 +84,34 @@ def p6_method(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return distinctive.best_terms(table(spark, d, "postings"), table(spark, d, "indexed_docs")).select("build_id", "doc_id", "term")
+
+
+# ---- 7: encoding of the corpus -------------------------------------------------------------------
+
+
+@query
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encode_texts(table(spark, d, "documents"))
+
+
+@query
+def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, tokens, same): the number of tokens, and whether decoding gives the text again."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ids = encode.encode_texts(docs)
+    back = encode.decode_ids(ids).withColumnRenamed("text", "back")
+    sizes = ids.select("doc_id", F.size("ids").cast("long").alias("tokens"))
+    return docs.join(back, "doc_id").join(sizes, "doc_id").select("doc_id", "tokens", (F.col("back") == F.col("text")).alias("same"))
+
+
+# ---- 8: evaluation texts in training text --------------------------------------------------------
+
+
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.exact_leaks(leakage.leaked(table(spark, d, "documents"), table(spark, d, "benchmark")))
+
+
+@query
+def p8_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked(table(spark, d, "documents"), table(spark, d, "benchmark"))
