@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import distinctive, encode, frequency, leakage, markup, topn
+from postloom.llm import distinctive, encode, frequency, leakage, lookalike, markup, topn
 from postloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,23 @@ def p4_ranked(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(_results(spark, d), "query_id", "doc_id", "score").select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+# ---- 5: visually identical text ------------------------------------------------------------------
+
+
+def _forms(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.normal_forms(lookalike.titles_and_texts(table(spark, d, "indexed_docs"), table(spark, d, "stream_articles")))
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.same_looking_pairs(_forms(spark, d))
+
+
+@query
+def p5_forms(spark: SparkSession, d: str) -> DataFrame:
+    return _forms(spark, d).select("field", "id", "form")
+
+
 # ---- 6: how distinctive a term is ----------------------------------------------------------------
 
 
