@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from postloom.llm.quality import COMMON_WORDS
+
 SQL: dict[str, str] = {}
 
 _ONCE = "(SELECT DISTINCT build_id, term, doc_id, tf FROM postings WHERE build_id IS NOT NULL AND term IS NOT NULL AND doc_id IS NOT NULL)"
@@ -38,3 +40,27 @@ s AS (SELECT build_id, term, count(*) AS df FROM o GROUP BY ALL),
 w AS (SELECT o.build_id, o.doc_id, o.term, o.tf * ln(1 + (coalesce(n, 0) - df + 0.5) / (df + 0.5)) AS w
       FROM o JOIN s ON o.build_id = s.build_id AND o.term = s.term LEFT JOIN {_N} d ON o.build_id = d.build_id)
 SELECT build_id, doc_id, term FROM w QUALIFY row_number() OVER (PARTITION BY build_id, doc_id ORDER BY w DESC, term) = 1"""
+
+# every run of 12 words of an item, or the whole of a shorter one, against the runs of that length of a document
+_LISTS = "list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda w: lower(w))"
+SQL["p8_found"] = f"""
+WITH i AS (SELECT item_id, {_LISTS} AS w FROM benchmark WHERE text IS NOT NULL),
+s AS (SELECT item_id, w, least(12, len(w)) AS n FROM i WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[k : k + n - 1], ' ') AS run
+       FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM s)),
+d AS (SELECT doc_id, {_LISTS} AS w FROM documents WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, n, array_to_string(w[k : k + n - 1], ' ') AS run
+       FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM s)))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.run = iw.run"""
+
+_COMMON = ", ".join(f"'{w}'" for w in sorted(COMMON_WORDS))
+SQL["p9_statistics"] = f"""
+WITH b AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{N}}]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0b\\f\\r]')) AS l,
+    regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+', '', 'g') AS s FROM documents),
+c AS (SELECT doc_id, len(w) AS n, len(array_to_string(w, '')) AS letters, len(s) AS shown, len(l) AS lines,
+    len(list_filter(l, lambda x: regexp_matches(x, '[.!?…。！？؟।]["''”’»)」』]*[ \\t\\n\\x0b\\f\\r]*$'))) AS ended,
+    len(list_filter(w, lambda x: lower(x) IN ({_COMMON}))) AS common FROM b)
+SELECT doc_id, CAST(n AS BIGINT) AS words, CASE WHEN n > 0 THEN letters / n END AS mean_word_length,
+       CASE WHEN shown > 0 THEN (shown - letters) / shown END AS symbol_ratio,
+       CASE WHEN lines > 0 THEN ended / lines END AS ended_lines, CASE WHEN n > 0 THEN common / n END AS common_words FROM c"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import distinctive, encode, frequency, leakage, lookalike, markup, topn
+from postloom.llm import distinctive, encode, frequency, leakage, lookalike, markup, quality, topn
 from postloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,3 +132,25 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p8_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+# ---- 9: text quality -----------------------------------------------------------------------------
+
+
+def _shares(spark: SparkSession, d: str) -> DataFrame:
+    return quality.class_shares(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.no_prose(_shares(spark, d))
+
+
+@query
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _shares(spark, d)
+
+
+@query
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.document_statistics(table(spark, d, "documents"))
