@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.operators import skew
+from postloom.functions import analyze, codec, urls
+from postloom.operators import crawl, index, metrics, rank, shard, skew, state, storage
+from postloom.session import shared_dir, write_stage
+from postloom.sources import pages, wiki
 from postloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,3 +45,476 @@ def p1_posting_ranks(spark: SparkSession, d: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"), F.min("key_rank").alias("first_rank"), F.max("key_rank").alias("last_rank"),
         F.sum("key_rank").alias("rank_sum"),
     )
+
+
+# ---- fixtures: the tables in the roles that the operators need ---------------------------------------
+
+QUERY = "the famous library and the old map of the library near the river"
+PROBES = ("librari", "river", "map", "absent")
+SHARDS = ("shard-0", "shard-1", "shard-2")
+EPOCH = "timestamp_ntz'2024-01-01 00:00:00'"
+ROBOTS = (
+    ("sihiba.example", "User-agent: *\nDisallow: /wiki/\n"),
+    ("pebapi.example", "User-agent: *\nDisallow: /private/\nAllow: /\n"),
+)
+RESPONSES = (
+    (1, 200, "text/html; charset=utf-8", 1000), (2, 404, "text/html", 10), (3, 200, "application/pdf", 1000), (4, 200, "Application/XHTML+XML", 5),
+    (5, 200, "text/html", 10 * 1024 * 1024), (6, 200, "text/html", 10 * 1024 * 1024 + 1), (7, None, None, None), (8, 200, None, 7),
+)
+CALLS = ((1, "shard-0", 0.05), (1, "shard-1", 3.3), (1, "shard-2", 0.2), (2, "shard-0", 3.2), (2, "shard-1", 0.1), (2, "shard-2", None))
+KEYS = ("  Solar   System ", "solar system", "Caf\u00e9", "cafe", "", "A\u3000B\tc")
+
+
+def corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The documents, with their first line as title and an address made of host and id."""
+    t = table(spark, d, "documents")
+    return t.select(
+        "doc_id", F.concat_ws("/", F.coalesce("source", F.lit("")), F.col("doc_id").cast("string")).alias("url"),
+        F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("title"), "text",
+    )
+
+
+def _index(spark: SparkSession, d: str) -> index.Index:
+    return index.Index.build(corpus(spark, d), check=False)
+
+
+def _one_query(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(0, QUERY)], "query_id long, query string")
+
+
+def _batch(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _probes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(t,) for t in PROBES], "term string")
+
+
+def _sharded(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    return shard.assign(docs, shard.ring(spark, SHARDS), shard.doc_key())
+
+
+def _seconds():
+    return F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, ts)") / F.lit(1e6)
+
+
+def _web(spark: SparkSession, d: str) -> DataFrame:
+    """The wiki pages as the pages of a crawl; of one delivered twice, the later."""
+    t = table(spark, d, "stream_articles")
+    last = t.groupBy("page_id").agg(F.max_by(F.struct("title", "ns", "text"), "loaded_at").alias("x"))
+    return last.select(F.col("page_id").alias("id"), "x.title", "x.ns", "x.text")
+
+
+def _links(web: DataFrame) -> DataFrame:
+    """Three links from each page, to pages (7 * id + i) mod n."""
+    n = web.agg(F.max("id").alias("n"))
+    every = web.select(F.col("id").alias("src")).crossJoin(n)  # one row
+    return every.select("src", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("pos"), "n").select("src", "pos", F.expr("(7 * src + pos) % n").alias("dst"))
+
+
+# ---- text analysis and index -------------------------------------------------------------------------
+
+
+@query
+def analyze_terms(spark: SparkSession, d: str) -> DataFrame:
+    return index.occurrences(corpus(spark, d)).select("doc_id", F.col("pos").cast("long").alias("pos"), "term")
+
+
+@query
+def postings(spark: SparkSession, d: str) -> DataFrame:
+    return index.postings(index.analyzed(corpus(spark, d))).select("term", "doc_id", F.col("tf").cast("long").alias("tf"))
+
+
+@query
+def duplicate_doc_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Of the indexed documents, where rows are delivered twice."""
+    return index.duplicates(table(spark, d, "indexed_docs"))
+
+
+@query
+def doc_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return index.lengths(index.analyzed(corpus(spark, d))).select("doc_id", F.col("length").cast("long").alias("length"))
+
+
+@query
+def document_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return index.document_frequency(index.postings(index.analyzed(corpus(spark, d))))
+
+
+@query
+def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
+    i = _index(spark, d)
+    return i.stats.crossJoin(i.df.agg(F.count(F.lit(1)).alias("vocabulary")))
+
+
+@query
+def postings_lookup(spark: SparkSession, d: str) -> DataFrame:
+    got = rank.lookup(_index(spark, d), _probes(spark))
+    return got.select("term", "df", F.transform("postings", lambda p: p["doc_id"]).alias("doc_ids"), F.aggregate("postings", F.lit(0).cast("long"), lambda a, p: a + p["tf"]).alias("tf_sum"))
+
+
+# ---- ranking -----------------------------------------------------------------------------------------
+
+
+@query
+def idf_table(spark: SparkSession, d: str) -> DataFrame:
+    return rank.idf_table(_index(spark, d)).select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+@query
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    best = rank.top_k(rank.scores(_index(spark, d), _one_query(spark)))
+    return best.select(F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
+
+
+@query
+def bm25_batch_topk(spark: SparkSession, d: str) -> DataFrame:
+    best = rank.top_k(rank.scores(_index(spark, d), _batch(spark, d)))
+    return best.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
+
+
+@query
+def bm25_param_sweep(spark: SparkSession, d: str) -> DataFrame:
+    i, q, out = _index(spark, d), _one_query(spark), None
+    for k1, b in ((1.2, 0.75), (2.0, 0.75), (1.2, 0.0), (0.0, 0.5)):
+        best = rank.top_k(rank.scores(i, q, k1, b), 5)
+        one = best.select(F.lit(k1).alias("k1"), F.lit(b).alias("b"), F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def total_hits(spark: SparkSession, d: str) -> DataFrame:
+    return rank.total_hits(rank.scores(_index(spark, d), _batch(spark, d)))
+
+
+@query
+def search_response(spark: SparkSession, d: str) -> DataFrame:
+    i = _index(spark, d)
+    best = rank.with_titles(rank.top_k(rank.scores(i, _one_query(spark))), i.docs)
+    return best.select(F.col("rank").cast("long").alias("rank"), "doc_id", "title", "url", "score")
+
+
+@query
+def display_results(spark: SparkSession, d: str) -> DataFrame:
+    """Titles as shown: of indexed documents, an empty or missing title gives way to the id."""
+    docs = table(spark, d, "indexed_docs").select("doc_id", "title").distinct()
+    return rank.display_titles(docs)
+
+
+# ---- codec and storage -------------------------------------------------------------------------------
+
+
+def _numbers(spark: SparkSession, d: str) -> DataFrame:
+    steps = [0, 1, 127, 128, 16383, 16384, 2097151, 2097152, 1 << 40]
+    fixed = spark.createDataFrame([(n,) for n in steps], "value long")
+    return fixed.union(table(spark, d, "postings").select(F.col("doc_id") * F.col("tf"))).filter("value is not null").distinct()
+
+
+@query
+def varint_encode(spark: SparkSession, d: str) -> DataFrame:
+    v = _numbers(spark, d)
+    return v.select("value", F.hex(codec.varint(F.col("value"))).alias("code"), codec.varint_length(F.col("value")).cast("long").alias("nbytes"))
+
+
+@query
+def varint_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Decoded by Spark's own functions: seven bits of each byte, shifted by its place."""
+    coded = _numbers(spark, d).select("value", F.hex(codec.varint(F.col("value"))).alias("code"))
+    byte = lambda i: F.conv(F.substr("code", i * 2 + 1, F.lit(2)), 16, 10).cast("long")
+    places = F.sequence(F.lit(0), (F.length("code") / 2).cast("int") - 1)
+    total = F.aggregate(places, F.lit(0).cast("long"), lambda a, i: a + F.call_function("shiftleft", byte(i).bitwiseAND(F.lit(127)), i * 7))
+    return coded.select("value", total.alias("decoded"))
+
+
+@query
+def vbyte_postings(spark: SparkSession, d: str) -> DataFrame:
+    lists = storage.encode_lists(index.postings(index.analyzed(corpus(spark, d))))
+    return lists.select("term", "block", F.col("df").cast("long").alias("df"), F.hex("data").alias("code"))
+
+
+@query
+def vbyte_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    own = index.postings(index.analyzed(corpus(spark, d)))
+    return storage.decode_lists(storage.encode_lists(own)).select("term", "doc_id", F.col("tf").cast("long").alias("tf"))
+
+
+@query
+def vbyte_stats(spark: SparkSession, d: str) -> DataFrame:
+    sizes = storage.list_sizes(index.postings(index.analyzed(corpus(spark, d))))
+    return sizes.agg(F.count(F.lit(1)).alias("terms"), F.sum("df").alias("postings"), F.sum("nbytes").alias("nbytes"), F.round(F.sum("nbytes") / F.sum("df"), 6).alias("bytes_per_posting"))
+
+
+@query
+def term_directory(spark: SparkSession, d: str) -> DataFrame:
+    return storage.term_directory(write_stage(index.postings(index.analyzed(corpus(spark, d))), "directory"))
+
+
+def _stored(spark: SparkSession, d: str) -> tuple[index.Index, index.Index]:
+    own, path = _index(spark, d), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    storage.write_index(own, path)
+    return own, storage.open_index(spark, path)
+
+
+@query
+def index_write_stats(spark: SparkSession, d: str) -> DataFrame:
+    _, kept = _stored(spark, d)
+    size = storage.list_sizes(kept.postings).agg(F.count(F.lit(1)).alias("terms"), F.sum("nbytes").alias("postings_bytes"))
+    return size.crossJoin(kept.docs.agg(F.count(F.lit(1)).alias("documents")))
+
+
+@query
+def ondisk_equals_memory(spark: SparkSession, d: str) -> DataFrame:
+    """How many postings, documents and query hits the stored index has, and how many differ from the built one."""
+    own, kept = _stored(spark, d)
+    hits = [rank.top_k(rank.scores(i, _one_query(spark))).select("rank", "doc_id", F.round("score", 6).alias("score")) for i in (own, kept)]
+    out = None
+    for name, a, b in (("postings", own.postings, kept.postings), ("documents", own.docs, kept.docs), ("hits", *hits)):
+        both = a.withColumn("side", F.lit(1)).unionByName(b.withColumn("side", F.lit(-1)))
+        per = both.groupBy(*a.columns).agg(F.sum("side").alias("diff"), F.count_if(F.col("side") == -1).alias("stored"))
+        one = per.agg(F.lit(name).alias("part"), F.sum("stored").alias("stored"), F.count_if(F.col("diff") != 0).alias("different"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# ---- wiki source -------------------------------------------------------------------------------------
+
+
+@query
+def wiki_clean(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "stream_articles").filter("text is not null").select("page_id", wiki.clean(F.col("text")).alias("text")).distinct()
+
+
+@query
+def wiki_articles(spark: SparkSession, d: str) -> DataFrame:
+    """Written as a compressed dump and read back from it."""
+    path = f"{shared_dir(spark)}/dump-{uuid.uuid4().hex}"
+    wiki.write_dump(_web(spark, d), path)
+    return wiki.articles(wiki.read_dump(spark, path))
+
+
+@query
+def article_url(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "stream_articles").filter("title is not null").select("page_id", urls.article_url(F.col("title")).alias("url")).distinct()
+
+
+# ---- crawl -------------------------------------------------------------------------------------------
+
+
+@query
+def canonical_urls(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "indexed_docs").filter("url is not null").select("doc_id", urls.canonical_url("url").alias("url")).distinct()
+
+
+@query
+def frontier_dedup(spark: SparkSession, d: str) -> DataFrame:
+    offered = table(spark, d, "indexed_docs").filter("url is not null").groupBy("url").agg(F.min("doc_id").alias("seq"))
+    return crawl.frontier(offered.select("url", (F.col("seq") % 5).cast("int").alias("depth"), "seq")).select("url", F.col("depth").cast("long").alias("depth"), "seq")
+
+
+@query
+def thin_page_filter(spark: SparkSession, d: str) -> DataFrame:
+    return _web(spark, d).filter(F.length("text") >= pages.THIN).select("id")
+
+
+def _crawl(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, int]]:
+    web = write_stage(_web(spark, d).select("id", "text"), "web")
+    seeds = spark.createDataFrame([(1, 0), (5, 1), (2, 2)], "id long, seq long")
+    return crawl.crawl(web, _links(web), seeds)
+
+
+@query
+def crawl_bfs(spark: SparkSession, d: str) -> DataFrame:
+    return _crawl(spark, d)[0].select("id", F.col("depth").cast("long").alias("depth"), "outcome")
+
+
+@query
+def crawl_stats(spark: SparkSession, d: str) -> DataFrame:
+    counters = _crawl(spark, d)[1]
+    return spark.createDataFrame([tuple(counters.values())], ", ".join(f"{k} long" for k in counters))
+
+
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    web = _web(spark, d).withColumn("url", urls.article_url(F.coalesce("title", F.lit("untitled"))))
+    return web.select("id", "url", pages.parsed("text", "url").alias("p")).select("id", "url", "p.*")
+
+
+@query
+def parse_pages(spark: SparkSession, d: str) -> DataFrame:
+    return _parsed(spark, d).select("id", "title", "text", F.size("links").cast("long").alias("n_links"))
+
+
+@query
+def outbound_links(spark: SparkSession, d: str) -> DataFrame:
+    found = _parsed(spark, d).select("id", F.posexplode("links").alias("pos", "link"))
+    return found.select("id", F.col("pos").cast("long").alias("pos"), urls.canonical_url("link").alias("link"))
+
+
+@query
+def fetch_gate(spark: SparkSession, d: str) -> DataFrame:
+    r = spark.createDataFrame(list(RESPONSES), "id long, status int, content_type string, nbytes long")
+    return r.select("id", pages.gate(F.col("status"), F.col("content_type"), F.col("nbytes")).alias("verdict"))
+
+
+@query
+def robots_allowed(spark: SparkSession, d: str) -> DataFrame:
+    robots = spark.createDataFrame(list(ROBOTS), "host string, robots_txt string")
+    return pages.allowed(table(spark, d, "indexed_docs").filter("url is not null").select("url").distinct(), robots).select("url", "allowed")
+
+
+@query
+def politeness_schedule(spark: SparkSession, d: str) -> DataFrame:
+    asked = table(spark, d, "documents").filter("source is not null").select(F.col("source").alias("host"), F.col("doc_id").alias("seq"))
+    return crawl.politeness(asked)
+
+
+# ---- shards ------------------------------------------------------------------------------------------
+
+
+@query
+def ring_points(spark: SparkSession, d: str) -> DataFrame:
+    return shard.ring(spark, SHARDS)
+
+
+@query
+def ring_assign(spark: SparkSession, d: str) -> DataFrame:
+    return _sharded(spark, table(spark, d, "documents").select("doc_id"))
+
+
+def _moves(spark: SparkSession, d: str, before: tuple[str, ...], after: tuple[str, ...]) -> DataFrame:
+    return shard.moves(table(spark, d, "documents").select("doc_id"), shard.ring(spark, before), shard.ring(spark, after), shard.doc_key())
+
+
+@query
+def ring_add_moves(spark: SparkSession, d: str) -> DataFrame:
+    return _moves(spark, d, SHARDS, (*SHARDS, "shard-3"))
+
+
+@query
+def ring_remove_moves(spark: SparkSession, d: str) -> DataFrame:
+    return _moves(spark, d, SHARDS, SHARDS[:2])
+
+
+@query
+def ring_balance(spark: SparkSession, d: str) -> DataFrame:
+    got = shard.balance(table(spark, d, "documents").select("doc_id"), SHARDS, (1, 10, 50, 150, 500, 1000), shard.doc_key())
+    return got.select(F.col("replicas").cast("long").alias("replicas"), F.round("max_deviation", 9).alias("max_deviation"))
+
+
+def _shards(spark: SparkSession, d: str) -> tuple[index.Index, DataFrame, DataFrame]:
+    """The index, its documents with their shard, and its postings with theirs."""
+    i = _index(spark, d)
+    points = shard.ring(spark, SHARDS)
+    return i, shard.assign(i.docs, points, shard.doc_key()), shard.assign(i.postings, points, shard.doc_key())
+
+
+@query
+def shard_summary(spark: SparkSession, d: str) -> DataFrame:
+    return shard.summary(*_shards(spark, d)[1:])
+
+
+@query
+def shard_globals(spark: SparkSession, d: str) -> DataFrame:
+    return shard.shard_globals(_shards(spark, d)[2])
+
+
+@query
+def cluster_manifest(spark: SparkSession, d: str) -> DataFrame:
+    i, docs, _ = _shards(spark, d)
+    return shard.manifest(docs, i.stats).select(F.array_join("shards", ",").alias("shards"), "global_document_count", F.round("global_avgdl", 9).alias("global_avgdl"))
+
+
+@query
+def idf_divergence(spark: SparkSession, d: str) -> DataFrame:
+    _, docs, post = _shards(spark, d)
+    got = shard.divergence(docs, post, _probes(spark))
+    return got.select("shard", "term", F.round("local_share", 9).alias("local_share"), F.round("global_share", 9).alias("global_share"))
+
+
+@query
+def sharded_topk(spark: SparkSession, d: str) -> DataFrame:
+    i, docs, _ = _shards(spark, d)
+    return shard.scatter_gather(i, docs, _one_query(spark)).select(F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"), "shard")
+
+
+@query
+def degraded_search(spark: SparkSession, d: str) -> DataFrame:
+    i, docs, _ = _shards(spark, d)
+    hits = shard.scatter_gather(i, docs, _one_query(spark), down=["shard-1"])
+    best = F.transform("results", lambda r: r["doc_id"].cast("string"))
+    return shard.answer(hits, _one_query(spark), SHARDS, ["shard-1"]).select(
+        "query_id", F.col("n_results").cast("long").alias("n_results"), F.array_join(best, ",").alias("doc_ids"), "shards_failed", "degraded"
+    )
+
+
+@query
+def scatter_timeouts(spark: SparkSession, d: str) -> DataFrame:
+    """A shard that takes longer than connecting, reading and one second more has failed."""
+    calls = spark.createDataFrame(list(CALLS), "request long, shard string, seconds double")
+    failed = F.coalesce(F.col("seconds") > 3.2, F.lit(True))
+    return calls.groupBy("request").agg(F.count_if(~failed).alias("answered"), F.array_join(F.sort_array(F.collect_list(F.when(failed, F.col("shard")))), ",").alias("shards_failed"))
+
+
+# ---- stateful operators ------------------------------------------------------------------------------
+
+
+@query
+def cache_key(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(i, q) for i, q in enumerate(KEYS)], "n long, query string")
+    rows = rows.unionByName(table(spark, d, "search_results").select(F.lit(-1).cast("long").alias("n"), F.col("query_text").alias("query")).distinct())
+    return rows.select("n", "query", analyze.cache_key(F.col("query"), F.lit(10)).alias("key"))
+
+
+@query
+def lru_replay(spark: SparkSession, d: str) -> DataFrame:
+    return state.lru_replay(table(spark, d, "events").filter("user_id is not null"), ["ts", "event_id"], "user_id", 50)
+
+
+@query
+def cache_hit_rate(spark: SparkSession, d: str) -> DataFrame:
+    got = state.hit_rate(state.lru_replay(table(spark, d, "events").filter("user_id is not null"), ["ts", "event_id"], "user_id", 50))
+    return got.withColumn("hit_rate", F.round("hit_rate", 9))
+
+
+def _breaker_log(spark: SparkSession, d: str, call: str) -> DataFrame:
+    outcome = F.when(F.col("event_type") == "error", F.lit(f"{call}failure")).otherwise(F.lit(f"{call}success"))
+    return table(spark, d, "events").select(F.concat(F.lit("shard-"), (F.col("user_id") % 3).cast("string")).alias("shard"), F.col("event_id").alias("seq"), _seconds().alias("ts"), outcome.alias("op"))
+
+
+@query
+def breaker_replay(spark: SparkSession, d: str) -> DataFrame:
+    """The outcomes as they come, whatever the breaker says: two failures open it."""
+    got = state.breaker_replay(_breaker_log(spark, d, ""), 2, 600.0)
+    return got.select("shard", "seq", "state", F.col("fails").cast("long").alias("fails"))
+
+
+@query
+def breaker_scatter(spark: SparkSession, d: str) -> DataFrame:
+    """Guarded calls: what the breaker holds back has no outcome."""
+    return state.breaker_replay(_breaker_log(spark, d, "call:"), 2, 600.0).select("shard", "seq", "allowed", "state", F.col("fails").cast("long").alias("fails"))
+
+
+# ---- measures ----------------------------------------------------------------------------------------
+
+
+@query
+def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.percentiles(table(spark, d, "events"), "value")
+
+
+@query
+def heaps_law(spark: SparkSession, d: str) -> DataFrame:
+    i = _index(spark, d)
+    got = metrics.heaps(metrics.vocabulary_growth(i.postings, i.docs))
+    return got.select(F.round("k", 6).alias("k"), F.round("b", 6).alias("b"))
+
+
+@query
+def vocabulary_growth(spark: SparkSession, d: str) -> DataFrame:
+    i = _index(spark, d)
+    return metrics.vocabulary_growth(i.postings, i.docs)
+
+
+@query
+def zipf_workload(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.zipf_workload(corpus(spark, d).filter("title <> ''"), "title")

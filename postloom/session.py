@@ -77,3 +77,12 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
 
 def default_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than there are cores, as one small file gives, spread over all cores.
+
+    A table that already has enough partitions stays as it is, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
