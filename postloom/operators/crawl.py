@@ -42,23 +42,25 @@ def crawl(
             "id", "n", F.when(F.col("text").isNull(), "failed").when(F.length("text") < thin, "thin").otherwise("indexed").alias("outcome")
         ), "level")
         size = ordered.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("outcome") == "indexed").alias("good")).first()
-        discovered += size["all"]
         if not size["all"]:
             break
         left = max_pages - indexed
-        if size["good"] > left:
-            # the budget ends within this level: up to the last page it pays for
+        if size["good"] >= left:
+            # the budget ends in this level: up to the last page it pays for
             last = ordered.filter("outcome = 'indexed'").orderBy("n").limit(left).agg(F.max("n")).first()[0]
             ordered = ordered.filter(F.col("n") <= (-1 if last is None else last))
         indexed += min(left, size["good"])
         done = ordered.select("id", F.lit(depth).alias("depth"), "n", "outcome")
         visited = done if visited is None else visited.unionByName(done)
         seen = level.select("id") if seen is None else seen.unionByName(level.select("id"))
-        if indexed >= max_pages and size["good"] >= left or depth == max_depth:
+        if depth == max_depth:  # what these pages link to is too deep
             break
         out = ordered.filter("outcome = 'indexed'").select(F.col("id").alias("src"), "n").join(links, "src")
         found = out.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("n", "pos")).alias("seq"))
         level = write_stage(found.join(seen, "id", "left_anti"), "frontier")
+        discovered += level.count()
+        if indexed >= max_pages:
+            break
         seen = write_stage(seen, "seen")
     empty = spark.createDataFrame([], "id long, depth int, n long, outcome string")
     visited = visited if visited is not None else empty

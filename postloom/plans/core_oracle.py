@@ -190,7 +190,9 @@ paid AS (SELECT *, coalesce(sum((outcome = 'indexed')::INT) OVER (ORDER BY n ROW
 """
 SQL["crawl_bfs"] = _BFS + "SELECT id, depth, outcome FROM paid WHERE before < 100"
 SQL["crawl_stats"] = _BFS + """SELECT count(*) FILTER (outcome <> 'failed') AS fetched, count(*) FILTER (outcome = 'indexed') AS indexed,
-  count(*) FILTER (outcome <> 'indexed') AS skipped, count(*) AS discovered FROM paid WHERE before < 100"""
+  count(*) FILTER (outcome <> 'indexed') AS skipped,
+  (SELECT count(DISTINCT dst) FROM paid JOIN edge ON src = paid.id WHERE before < 100 AND outcome = 'indexed' AND depth < 3 AND dst NOT IN (1, 5, 2)) AS discovered
+FROM paid WHERE before < 100"""
 
 
 def _value(x: object) -> str:
