@@ -12,12 +12,16 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 # Stopwords, suffixes (tried in this order), letters that stay doubled, longest word, shortest stem.
 STOPWORDS = "a an and are as at be but by for from has have in is it its of on or that the to was were will with".split()
@@ -142,6 +146,30 @@ def with_terms(df: DataFrame, text: str = "text", out: str = "terms", engine: st
     return native.unionByName(df.filter(expands).withColumn(out, _terms_in_python(F.col(text))))
 
 
+def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` without its text, with ``length`` (terms of the text) and ``counts`` (term and tf, one per term).
+
+    A document is counted where it is read, so building postings shuffles nothing.
+    """
+    kept = [f for f in df.schema if f.name != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                counts = [Counter(analyze_text(t)) for t in part.column(part.schema.get_field_index(text)).to_pylist()]
+                ends = pa.array(list(accumulate(map(len, counts), initial=0)), pa.int32())
+                terms = pa.array([t for c in counts for t in c], pa.string())
+                tfs = pa.array([n for c in counts for n in c.values()], pa.int32())
+                pairs = pa.StructArray.from_arrays([terms, tfs], ["term", "tf"])
+                length = pa.array([sum(c.values()) for c in counts], pa.int32())
+                old = [part.column(part.schema.get_field_index(f.name)) for f in kept]
+                yield pa.RecordBatch.from_arrays([*old, length, pa.ListArray.from_arrays(ends, pairs)], [*(f.name for f in kept), "length", "counts"])
+
+    added = [StructField("length", IntegerType()), StructField("counts", ArrayType(StructType([StructField("term", StringType()), StructField("tf", IntegerType())])))]
+    return df.mapInArrow(run, StructType([*kept, *added]))
+
+
 def cache_key(query: Column, k: Column) -> Column:
     """The key under which results are remembered: lower case, single blanks, and the number of results."""
     blank = r"[\s\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"

@@ -7,10 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.functions.analyze import with_terms
-from postloom.session import spread
-
-DOCS = ("doc_id", "url", "title", "text")
+from postloom.functions.analyze import with_counts, with_terms
+from postloom.session import spread, write_stage
 
 
 class DuplicateDocuments(ValueError):
@@ -27,15 +25,23 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return analyzed(docs).select("doc_id", F.posexplode("terms").alias("pos", "term"))
 
 
-def postings(terms: DataFrame) -> DataFrame:
-    """(term, doc_id, tf) from (doc_id, terms); counts are combined before the shuffle."""
-    every = terms.select("doc_id", F.explode("terms").alias("term"))
-    return every.groupBy("term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+def counted(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, url, title, length, counts) of every document, as far as the columns are there."""
+    own = [c for c in ("doc_id", "url", "title") if c in docs.columns]
+    return with_counts(spread(docs.select(*own, F.col(text).alias("text"))))
+
+
+def postings(counts: DataFrame) -> DataFrame:
+    """(term, doc_id, tf, length): one row per term of a document, without a shuffle.
+
+    The length of the document goes along, so that scoring needs no join with the documents.
+    """
+    return counts.select("doc_id", "length", F.explode("counts").alias("x")).select("x.term", "doc_id", "x.tf", "length")
 
 
-def lengths(terms: DataFrame) -> DataFrame:
+def lengths(counts: DataFrame) -> DataFrame:
     """(doc_id, length): documents without terms have length 0."""
-    return terms.select("doc_id", F.size("terms").alias("length"))
+    return counts.select("doc_id", "length")
 
 
 def document_frequency(post: DataFrame) -> DataFrame:
@@ -56,7 +62,7 @@ def duplicates(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """The tables that queries read. ``docs``: doc_id, url, title, length. ``postings``: term, doc_id, tf."""
+    """The tables that queries read. ``docs``: doc_id, url, title, length. ``postings``: term, doc_id, tf, length."""
 
     docs: DataFrame
     postings: DataFrame
@@ -68,9 +74,9 @@ class Index:
         """From (doc_id, url, title, text); ids must be unique."""
         if check and not duplicates(corpus).isEmpty():
             raise DuplicateDocuments("a document id occurs more than once")
-        terms = with_terms(spread(corpus.select(*DOCS)))
-        docs = terms.select("doc_id", "url", "title", F.size("terms").alias("length"))
-        post = postings(terms)
+        # analysed once and written: the tables below read what they need of it
+        counts = write_stage(counted(corpus), "index")
+        docs, post = counts.select("doc_id", "url", "title", "length"), postings(counts)
         return cls(docs, post, document_frequency(post), corpus_stats(docs))
 
     @property

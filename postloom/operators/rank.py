@@ -35,15 +35,15 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def scores(index: Index, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, score, first_pos) of every document that holds a term of the query.
 
-    The few terms of the queries are broadcast only where Spark measures them to be small; the postings of
-    other terms are dropped before any shuffle. A document that is not in the index scores nothing.
+    The terms of the queries are broadcast where Spark measures them to be small, so the postings of other
+    terms are dropped where they are read; only sums per query and document are shuffled.
     """
     terms = query_terms(queries)
     wanted = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighed = terms.join(df, "term").crossJoin(index.stats).filter("avgdl > 0")  # one row of statistics
     weighed = weighed.select("query_id", "term", "first_pos", "avgdl", (F.col("times") * idf(F.col("n"), F.col("df"))).alias("w"))
-    hits = wanted.join(index.docs.select("doc_id", "length"), "doc_id").join(weighed, "term")
+    hits = wanted.join(weighed, "term")
     part = F.col("w") * saturation(F.col("tf"), F.col("length"), F.col("avgdl"), k1, b)
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"), F.min("first_pos").alias("first_pos"))
 

@@ -109,9 +109,10 @@ def scatter_gather(index: Index, docs: DataFrame, queries: DataFrame, k: int = r
     ``docs``: doc_id and shard. Statistics are global, so scores and order are those of one index over the
     documents of the answering shards. Each shard keeps its k best before they are merged.
     """
-    scored = rank.scores(index, queries).join(docs.select("doc_id", "shard"), "doc_id")
+    up = docs.select("doc_id", "shard")
     if down:
-        scored = scored.filter(~F.col("shard").isin(*down))
+        up = up.filter(~F.col("shard").isin(*down))
+    scored = rank.scores(index, queries).join(up, "doc_id")
     order = [F.round("score", 10).desc(), F.col("first_pos").asc(), F.col("doc_id").asc()]
     local = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "shard").orderBy(*order))).filter(F.col("r") <= k).drop("r")
     merged = local.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)

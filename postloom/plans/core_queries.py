@@ -122,7 +122,7 @@ def analyze_terms(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def postings(spark: SparkSession, d: str) -> DataFrame:
-    return index.postings(index.analyzed(corpus(spark, d))).select("term", "doc_id", F.col("tf").cast("long").alias("tf"))
+    return index.postings(index.counted(corpus(spark, d))).select("term", "doc_id", F.col("tf").cast("long").alias("tf"))
 
 
 @query
@@ -133,12 +133,12 @@ def duplicate_doc_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def doc_lengths(spark: SparkSession, d: str) -> DataFrame:
-    return index.lengths(index.analyzed(corpus(spark, d))).select("doc_id", F.col("length").cast("long").alias("length"))
+    return index.lengths(index.counted(corpus(spark, d))).select("doc_id", F.col("length").cast("long").alias("length"))
 
 
 @query
 def document_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return index.document_frequency(index.postings(index.analyzed(corpus(spark, d))))
+    return index.document_frequency(index.postings(index.counted(corpus(spark, d))))
 
 
 @query
@@ -229,25 +229,25 @@ def varint_decode(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def vbyte_postings(spark: SparkSession, d: str) -> DataFrame:
-    lists = storage.encode_lists(index.postings(index.analyzed(corpus(spark, d))))
+    lists = storage.encode_lists(index.postings(index.counted(corpus(spark, d))))
     return lists.select("term", "block", F.col("df").cast("long").alias("df"), F.hex("data").alias("code"))
 
 
 @query
 def vbyte_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    own = index.postings(index.analyzed(corpus(spark, d)))
+    own = index.postings(index.counted(corpus(spark, d)))
     return storage.decode_lists(storage.encode_lists(own)).select("term", "doc_id", F.col("tf").cast("long").alias("tf"))
 
 
 @query
 def vbyte_stats(spark: SparkSession, d: str) -> DataFrame:
-    sizes = storage.list_sizes(index.postings(index.analyzed(corpus(spark, d))))
+    sizes = storage.list_sizes(index.postings(index.counted(corpus(spark, d))))
     return sizes.agg(F.count(F.lit(1)).alias("terms"), F.sum("df").alias("postings"), F.sum("nbytes").alias("nbytes"), F.round(F.sum("nbytes") / F.sum("df"), 6).alias("bytes_per_posting"))
 
 
 @query
 def term_directory(spark: SparkSession, d: str) -> DataFrame:
-    return storage.term_directory(write_stage(index.postings(index.analyzed(corpus(spark, d))), "directory"))
+    return storage.term_directory(write_stage(index.postings(index.counted(corpus(spark, d))), "directory"))
 
 
 def _stored(spark: SparkSession, d: str) -> tuple[index.Index, index.Index]:

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from postloom.functions.analyze import with_terms
-from postloom.operators.index import Index, corpus_stats, document_frequency, postings
+from postloom.operators.index import Index, corpus_stats, counted, document_frequency, postings
 
 
 def append_batch(batch: DataFrame, path: str, batch_id: int) -> None:
@@ -16,12 +15,12 @@ def append_batch(batch: DataFrame, path: str, batch_id: int) -> None:
     A batch overwrites its own folder, so a repeated batch changes nothing. Of a document delivered again
     within a batch one row counts.
     """
-    terms = with_terms(batch.dropDuplicates(["doc_id"]).select("doc_id", "url", "title", "text")).persist()
+    counts = counted(batch.dropDuplicates(["doc_id"])).persist()
     try:
-        terms.select("doc_id", "url", "title", F.size("terms").alias("length")).write.mode("overwrite").parquet(f"{path}/docs/batch={batch_id}")
-        postings(terms).sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings/batch={batch_id}")
+        counts.select("doc_id", "url", "title", "length").write.mode("overwrite").parquet(f"{path}/docs/batch={batch_id}")
+        postings(counts).sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings/batch={batch_id}")
     finally:
-        terms.unpersist()
+        counts.unpersist()
 
 
 def index_stream(docs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -35,7 +34,7 @@ def open_growing(spark: SparkSession, path: str) -> Index:
     docs = spark.read.parquet(f"{path}/docs")
     latest = docs.groupBy("doc_id").agg(F.max("batch").alias("batch"))
     docs = docs.join(latest, ["doc_id", "batch"]).drop("batch")
-    post = spark.read.parquet(f"{path}/postings").join(latest, ["doc_id", "batch"]).select("term", "doc_id", "tf")
+    post = spark.read.parquet(f"{path}/postings").join(latest, ["doc_id", "batch"]).select("term", "doc_id", "tf", "length")
     return Index(docs, post, document_frequency(post), corpus_stats(docs))
 
 
