@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postloom.session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public pattern that cuts texts before the merges. White space is the Unicode property, as
 # in the pattern's home libraries; Python's own \s also takes four control characters.
@@ -146,7 +148,7 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabul
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(df[key].alias("key"), df[text].cast("string").alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, ids array<int>").select(F.col("key").alias(key), "ids")
+    return spread(rows).mapInArrow(run, f"key {kind}, ids array<int>").select(F.col("key").alias(key), "ids")
 
 
 def decode_ids(df: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postloom.session import spread
+
 WORDS = 12  # consecutive words that make a leak
 BLOCK_WORDS = 500_000  # words of test items that are broadcast at once, about 30 MB with their seeds
 # Fixed masks for windows of 12 words: 1 counts, 0 is ignored.
@@ -149,7 +151,7 @@ def leaked(
     own = items.select(items[item_id].alias("i"), items[item_text].alias("t")).filter("i is not null and t is not null").distinct()
     total = own.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0
     n_blocks = max(1, -(-total // block_words))
-    rows = docs.select(docs[doc_id].alias("d"), docs[text].alias("t")).filter("d is not null and t is not null")
+    rows = spread(docs.select(docs[doc_id].alias("d"), docs[text].alias("t")).filter("d is not null and t is not null"))
     kinds = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
 
     def searcher(index):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.operators.skew import lookup_join
-from postloom.session import write_stage
+from postloom.session import spread, write_stage
 
 # Letters of the same shape, Latin first, then Cyrillic, Greek, Armenian (a dot where there is none).
 _SHAPES = """
@@ -176,7 +176,7 @@ def normal_forms(entries: DataFrame) -> DataFrame:
     kind = entries.schema["id"].dataType.simpleString()
     given = entries.select("field", "id", "text").filter("id is not null and text is not null and text <> ''")
     dirty_type = "array<struct<token:string,result:string>>"
-    staged = write_stage(given.mapInArrow(_first_pass, f"field string, id {kind}, raw binary, form string, dirty {dirty_type}"), "folded")
+    staged = write_stage(spread(given).mapInArrow(_first_pass, f"field string, id {kind}, raw binary, form string, dirty {dirty_type}"), "folded")
     changes = staged.select(F.explode("dirty").alias("x")).select("x.*").distinct()
     # a result is a word if it stands in the corpus as it is, or if several spellings come to it
     results = changes.groupBy("result").agg(F.count(F.lit(1)).alias("spellings"))

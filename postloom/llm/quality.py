@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postloom.session import write_stage
+from postloom.session import spread, write_stage
 
 # Common function words of some languages.
 COMMON_WORDS = frozenset(
@@ -158,7 +158,7 @@ def _matrix(b: pa.RecordBatch) -> np.ndarray:
 
 
 def _total(df: DataFrame, step, size: int) -> np.ndarray:
-    """The sum over all batches of what ``step`` makes of them; arrays are summed per task, then in 16 groups."""
+    """The sum over all batches of what ``step`` makes of them, summed per task, and in 16 groups if there are many."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
@@ -175,7 +175,9 @@ def _total(df: DataFrame, step, size: int) -> np.ndarray:
                 total += row.values.to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["x"])
 
-    parts = df.mapInArrow(partial, "x array<double>").repartition(16).mapInArrow(add, "x array<double>")
+    parts = df.mapInArrow(partial, "x array<double>")
+    if df.rdd.getNumPartitions() > 64:  # else one array per partition is little for the driver
+        parts = parts.repartition(16).mapInArrow(add, "x array<double>")
     return np.sum([np.asarray(r.x) for r in parts.collect()], axis=0)
 
 
@@ -201,7 +203,7 @@ def segment_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                     )
 
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).filter("doc_id is not null and text is not null")
-    return rows.mapInArrow(run, f"doc_id {kind}, chars long, " + ", ".join(f"{f} float" for f in FEATURES))
+    return spread(rows).mapInArrow(run, f"doc_id {kind}, chars long, " + ", ".join(f"{f} float" for f in FEATURES))
 
 
 def fit_mixture(stats: DataFrame, components: int = 32, iterations: int = 50, tolerance: float = 1e-4, floor: float = 0.05) -> Mixture | None:
