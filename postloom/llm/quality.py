@@ -206,7 +206,7 @@ def segment_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return spread(rows).mapInArrow(run, f"doc_id {kind}, chars long, " + ", ".join(f"{f} float" for f in FEATURES))
 
 
-def fit_mixture(stats: DataFrame, components: int = 32, iterations: int = 50, tolerance: float = 1e-4, floor: float = 0.05) -> Mixture | None:
+def fit_mixture(stats: DataFrame, components: int = 40, iterations: int = 50, tolerance: float = 1e-4, floor: float = 0.05) -> Mixture | None:
     """The mixture of all rows by EM, from the largest coarse bins. None for an empty table."""
     size = 1 + 2 * N
     m = _total(stats, lambda b: np.concatenate([[b.num_rows], _matrix(b).sum(0), (_matrix(b) ** 2).sum(0)]), size)
@@ -266,7 +266,7 @@ def name_components(mix: Mixture, prose: np.ndarray, other: np.ndarray) -> list[
     return out
 
 
-def class_shares(docs: DataFrame, labels: DataFrame, components: int = 32, most_labels: int = 50_000) -> DataFrame:
+def class_shares(docs: DataFrame, labels: DataFrame, components: int = 40, most_labels: int = 50_000) -> DataFrame:
     """(doc_id, chars, prose, list, table, junk): the shares of a document's characters in each class.
 
     Documents that are null or blank, or have a null id, do not come out. ``labels`` (doc_id, quality: 1
