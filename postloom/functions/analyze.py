@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from postloom.session import ship
+
 # Stopwords, suffixes (tried in this order), letters that stay doubled, longest word, shortest stem.
 STOPWORDS = "a an and are as at be but by for from has have in is it its of on or that the to was were will with".split()
 SUFFIXES = "ational ization iveness fulness ousness ation ement ingly edly ing ies ers ed es er ly s".split()
@@ -130,6 +132,10 @@ def _terms_in_python(texts: pd.Series) -> pd.Series:
     return texts.map(analyze_text)
 
 
+# else a filter on the size of the result, which Spark infers below an explode, would run it twice
+_terms_in_python = _terms_in_python.asNondeterministic()
+
+
 def with_terms(df: DataFrame, text: str = "text", out: str = "terms", engine: str = "arrow") -> DataFrame:
     """``df`` with the array of its text's terms, in order and with repeats; empty for a null text.
 
@@ -137,6 +143,7 @@ def with_terms(df: DataFrame, text: str = "text", out: str = "terms", engine: st
     with expanding characters to Python. Both give the same terms; measured, ``arrow`` takes less than half
     the time, so it is the default.
     """
+    ship(df.sparkSession)
     if engine == "arrow":
         return df.withColumn(out, _terms_in_python(F.col(text)))
     if engine != "native":

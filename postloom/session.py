@@ -8,11 +8,29 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
 _local: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that they need no path of their own to it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="postloom-code-")  # read by the driver's file server only
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/postloom.zip", "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(f"{folder}/postloom.zip")
 
 
 def build_session(app: str = "postloom", cpus: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -69,6 +87,7 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
     table is dropped when the Python process ends.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(remove, spark, path)
@@ -84,5 +103,6 @@ def spread(df: DataFrame) -> DataFrame:
 
     A table that already has enough partitions stays as it is, so nothing is shuffled at scale.
     """
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -79,6 +79,9 @@ def parsed(pages: pd.Series, bases: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read_page(h, b) for h, b in zip(pages, bases, strict=True)], columns=["title", "text", "links"])
 
 
+parsed = parsed.asNondeterministic()  # once per page, also below an explode
+
+
 def gate(status: Column, content_type: Column, n_bytes: Column) -> Column:
     """Why a response is turned away, or ``ok``."""
     kind = F.lower(F.trim(F.substring_index(F.coalesce(content_type, F.lit("")), ";", 1)))
