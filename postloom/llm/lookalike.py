@@ -177,25 +177,25 @@ def normal_forms(entries: DataFrame) -> DataFrame:
     given = entries.select("field", "id", "text").filter("id is not null and text is not null and text <> ''")
     dirty_type = "array<struct<token:string,result:string>>"
     staged = write_stage(spread(given).mapInArrow(_first_pass, f"field string, id {kind}, raw binary, form string, dirty {dirty_type}"), "folded")
-    changes = staged.select(F.explode("dirty").alias("x")).select("x.*").distinct()
+    changes = write_stage(staged.select(F.explode("dirty").alias("x")).groupBy("x.token", "x.result").agg(F.count(F.lit(1)).alias("uses")), "changes")
     # a result is a word if it stands in the corpus as it is, or if several spellings come to it
     results = changes.groupBy("result").agg(F.count(F.lit(1)).alias("spellings"))
     vocabulary = staged.select("form").mapInArrow(_words, "token string").distinct()
     standing = results.join(vocabulary.withColumnRenamed("token", "result"), "result", "left_semi").select("result")
     words = standing.union(results.filter("spellings > 1").select("result")).distinct()
     accepted = write_stage(changes.join(words, "result").withColumn("word", F.lit(True)), "accepted")
-    parts = staged.filter(F.size("dirty") > 0).select("raw", "form", "dirty").dropDuplicates(["raw"])
+    parts = staged.filter(F.size("dirty") > 0).groupBy("raw").agg(F.first("form").alias("form"), F.first("dirty").alias("dirty"), F.count(F.lit(1)).alias("copies"))
     spots = parts.select("raw", F.explode("dirty").alias("x")).select("raw", "x.*")
-    use = lookup_join(spots, accepted, ["token", "result"], None, 200_000).filter("word")
+    use = lookup_join(spots, accepted, ["token", "result"], "uses", 200_000).filter("word")
     use = use.groupBy("raw").agg(F.collect_list(F.struct("token", "result")).alias("use"))
 
     @F.pandas_udf("string")
     def rewritten(forms: pd.Series, used: pd.Series) -> pd.Series:
         return pd.Series([rewrite(f, {x["token"]: x["result"] for x in u}) for f, u in zip(forms, used, strict=True)])
 
-    mended = parts.select("raw", "form").join(use, "raw").select("raw", rewritten("form", "use").alias("better"))
+    mended = write_stage(parts.select("raw", "form", "copies").join(use, "raw").select("raw", "copies", rewritten("form", "use").alias("better")), "mended")
     own = staged.select("field", "id", "raw", "form", (F.size("dirty") > 0).alias("is_dirty"))
-    dirty = lookup_join(own.filter("is_dirty"), mended, ["raw"], None, 10_000, 1_000)
+    dirty = lookup_join(own.filter("is_dirty"), mended, ["raw"], "copies", 10_000, 1_000)
     got = own.filter("not is_dirty").select("field", "id", "raw", "form").unionByName(
         dirty.select("field", "id", "raw", F.coalesce("better", "form").alias("form"))
     )
@@ -211,15 +211,17 @@ def same_looking_pairs(forms: DataFrame) -> DataFrame:
     keyed = write_stage(forms.select("field", "id", "raw", F.sha2("form", 256).alias("look")), "looks")
     spell = keyed.groupBy("field", "look", "raw").agg(F.count(F.lit(1)).alias("n"))
     several = spell.groupBy("field", "look").agg(F.count(F.lit(1)).alias("spellings")).filter("spellings > 1").select("field", "look")
-    spell = spell.join(several, ["field", "look"])
+    spell = write_stage(spell.join(several, ["field", "look"]), "spellings")
     a, b = (spell.select("field", "look", F.col("raw").alias(f"raw_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
     # of two spellings, a is the more frequent one
     order = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("raw_a") < F.col("raw_b")))
-    couples = a.join(b, ["field", "look"]).filter(order).select("field", "look", "raw_a", "raw_b")
+    couples = a.join(b, ["field", "look"]).filter(order).select("field", "look", "raw_a", "n_a", "raw_b")
     fewer = couples.select("field", "look", F.col("raw_b").alias("raw")).distinct().join(keyed, ["field", "look", "raw"])
     fewer = fewer.groupBy("field", "look", "raw").agg(F.collect_list("id").alias("ids")).withColumnRenamed("raw", "raw_b")
-    lists = couples.join(fewer, ["field", "look", "raw_b"]).groupBy("field", "look", F.col("raw_a").alias("raw")).agg(F.flatten(F.collect_list("ids")).alias("ids"))
-    got = lookup_join(keyed, lists, ["field", "look", "raw"], None, 100_000).select("field", F.col("id").alias("x"), F.explode("ids").alias("y"))
+    lists = couples.join(fewer, ["field", "look", "raw_b"]).groupBy("field", "look", F.col("raw_a").alias("raw")).agg(
+        F.flatten(F.collect_list("ids")).alias("ids"), F.max("n_a").alias("n")
+    )
+    got = lookup_join(keyed, lists, ["field", "look", "raw"], "n", 100_000).select("field", F.col("id").alias("x"), F.explode("ids").alias("y"))
     return got.filter("x <> y").select("field", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
