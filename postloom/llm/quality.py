@@ -2,8 +2,8 @@
 
 A segment is a sentence of a line, or the whole line where no sentence ends in it. Eleven statistics describe
 each; standardised, they are fitted by a Gaussian mixture with expectation-maximisation over all segments
-of the corpus. Judged documents tell which components hold prose; inspected examples tell lists, tables and
-junk apart. A document is then described by the shares of its characters in the four classes.
+of the corpus. Judged documents tell which components hold prose, also by the common words around a segment;
+inspected examples tell lists, tables and junk apart. A document is then described by the shares of its characters in the four classes.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ COMMON_WORDS = frozenset(
     der die das und ist nicht ein eine einen dem den des im zu von mit für auf sind wurde es sich hier wie als auch nach noch ihre hat
     le la les de du un une et est que qui dans pour sur par pas ne ce cette il elle on se sont avec au aux où sa ses son
     el los las y en del al una con para no más su sus lo como fue se cada
-    и в на не что с по это как из от к для был была где там эта этот около здесь
+    и в во на не что с по это как из от к для был была где там эта этот она всей около здесь
     το της την τη των του η ο οι και είναι στη στην στο με για μια ένα δεν που έχει κάθε
     في من على إلى أن هذا هذه التي الذي عن مع كان لا ما قرب حوالي عام بين بعد قبل كل""".split()
 )
@@ -51,7 +51,9 @@ _KOREAN = re.compile("[가-힣]+(?:은|는|이|가|을|를|에|에서|에는|의
 _BROKEN = re.compile("[�\x7f-\x84\x86-\x9f]|[ÃÂÐÑ][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œ]|â€")
 _SEPARATORS = re.compile(r"[,;:|/·•=\t{}<>]|\s{2,}| [-–] ")
 REACH = 2  # neighbours on either side
-_PRIOR = 0.003  # what the hint of common words weighs, as a share of all judged characters
+_AROUND = (0.1, 0.2)  # shares of common words around a segment that set cells apart
+_HINTS = (0.05, 0.5, 0.95)  # how much a cell by itself speaks for prose
+_PRIOR = 0.003  # what that weighs, as a share of all judged characters
 FEATURES = ("common", "word_length", "symbols", "digits", "ended", "log_words", "separators", "repeated", "broken", "capitals", "around")
 N = len(FEATURES)
 
@@ -62,7 +64,12 @@ def segments(text: str) -> list[str]:
 
 
 def features(segment: str) -> list[float]:
-    """The statistics of one segment, in the order of FEATURES."""
+    """The statistics of one segment by itself, in the order of FEATURES."""
+    return text_features([segment])[0].tolist()
+
+
+def _measures(segment: str) -> list[float]:
+    """The same, but the number of words is not bounded yet."""
     core = segment.strip()
     every = _TOKEN.findall(core)
     found = [w for w in every if w.isalpha()]
@@ -80,7 +87,7 @@ def features(segment: str) -> list[float]:
     bare = core.rstrip(_CLOSERS)
     return [
         min(1.0, common / max(1.0, words)), min(length, 20.0), (max(0, shown - letters - digits) / shown) ** 0.5, (digits / shown) ** 0.5,
-        float(bare.endswith(_END)), min(np.log1p(words), 4.0), min(len(_SEPARATORS.findall(core)) / max(1.0, words), 2.0),
+        float(bare.endswith(_END)), np.log1p(words), min(len(_SEPARATORS.findall(core)) / max(1.0, words), 2.0),
         again / n if found else 0.0, min(10.0 * len(_BROKEN.findall(core)) / shown, 2.0), sum(w[:1].isupper() for w in found) / n, min(1.0, common / max(1.0, words)),
     ]
 
@@ -91,12 +98,13 @@ def text_features(parts: list[str]) -> np.ndarray:
     The last one is taken over a segment and its neighbours: their common words to their words. It sets a
     heading within prose apart from an item of a list.
     """
-    f = np.asarray([features(s) for s in parts], float).reshape(-1, N)
+    f = np.asarray([_measures(s) for s in parts], float).reshape(-1, N)
     if len(f) > 1:
         words = np.maximum(np.expm1(f[:, 5]), 1.0)
         near = np.ones(2 * REACH + 1)
         spread = lambda x: np.convolve(x, near, "full")[REACH : REACH + len(x)]
         f[:, -1] = spread(f[:, 0] * words) / spread(words)
+    f[:, 5] = np.minimum(f[:, 5], 4.0)
     return f
 
 
@@ -206,7 +214,7 @@ def segment_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return spread(rows).mapInArrow(run, f"doc_id {kind}, chars long, " + ", ".join(f"{f} float" for f in FEATURES))
 
 
-def fit_mixture(stats: DataFrame, components: int = 40, iterations: int = 50, tolerance: float = 1e-4, floor: float = 0.05) -> Mixture | None:
+def fit_mixture(stats: DataFrame, components: int = 32, iterations: int = 50, tolerance: float = 1e-4, floor: float = 0.05) -> Mixture | None:
     """The mixture of all rows by EM, from the largest coarse bins. None for an empty table."""
     size = 1 + 2 * N
     m = _total(stats, lambda b: np.concatenate([[b.num_rows], _matrix(b).sum(0), (_matrix(b) ** 2).sum(0)]), size)
@@ -246,27 +254,33 @@ def fit_mixture(stats: DataFrame, components: int = 40, iterations: int = 50, to
     return mix
 
 
-def name_components(mix: Mixture, prose: np.ndarray, other: np.ndarray) -> list[str]:
-    """The class of each component, from its characters in judged prose and in judged lists, tables and junk.
+def in_cells(posterior: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """The memberships of each row, set apart by how many common words stand around it: few, some, many."""
+    k = posterior.shape[1]
+    out = np.zeros((len(f), len(_HINTS) * k))
+    cell = np.digitize(f[:, -1], _AROUND)
+    for c in range(len(_HINTS)):
+        out[cell == c, c * k : (c + 1) * k] = posterior[cell == c]
+    return out
+
+
+def name_cells(mix: Mixture, prose: np.ndarray, other: np.ndarray) -> list[str]:
+    """The class of each component in each cell, from its characters in judged prose and in what is judged not to be.
 
-    A component is prose if it holds more of the judged prose than of the rest. Where the judged documents
-    hardly touch it, the share of common words in it weighs in: 12 of 100 are as good as no evidence, more
-    speak for prose. The components that are not prose are named by the nearest inspected example.
+    It is prose if it holds more of the judged prose than of the rest. Where the judged documents hardly
+    touch it, the common words around weigh in. What is not prose is named by the nearest inspected example.
     """
-    hint = np.clip((mix.mean[:, 0] * mix.scale[0] + mix.center[0]) / 0.24, 0.0, 1.0)
+    k = len(mix.weight)
+    hint = np.repeat(_HINTS, k)
     a = prose / max(prose.sum(), 1e-9) + _PRIOR * hint
     b = other / max(other.sum(), 1e-9) + _PRIOR * (1 - hint)
-    is_prose = a > b
     kinds = [c for c in CLASSES if c != "prose"]
     f = {c: (np.asarray([features(s) for s in EXAMPLES[c]]) - mix.center) / mix.scale for c in kinds}
-    out = []
-    for k in range(len(a)):
-        near = {c: np.min(((f[c] - mix.mean[k]) ** 2).sum(1)) for c in kinds}
-        out.append("prose" if is_prose[k] else min(kinds, key=near.get))
-    return out
+    nearest = [min(kinds, key=lambda c: np.min(((f[c] - mix.mean[j]) ** 2).sum(1))) for j in range(k)]
+    return ["prose" if a[i] > b[i] else nearest[i % k] for i in range(len(a))]
 
 
-def class_shares(docs: DataFrame, labels: DataFrame, components: int = 40, most_labels: int = 50_000) -> DataFrame:
+def class_shares(docs: DataFrame, labels: DataFrame, components: int = 32, most_labels: int = 50_000) -> DataFrame:
     """(doc_id, chars, prose, list, table, junk): the shares of a document's characters in each class.
 
     Documents that are null or blank, or have a null id, do not come out. ``labels`` (doc_id, quality: 1
@@ -284,18 +298,20 @@ def class_shares(docs: DataFrame, labels: DataFrame, components: int = 40, most_
     judged = labels.dropna(subset=["doc_id", "quality"]).groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)
 
     def by_label(b: pa.RecordBatch) -> np.ndarray:
-        r = mix.posterior(_matrix(b))[0] * b.column(b.schema.get_field_index("chars")).to_numpy()[:, None]
+        f = _matrix(b)
+        r = in_cells(mix.posterior(f)[0], f) * b.column(b.schema.get_field_index("chars")).to_numpy()[:, None]
         q = b.column(b.schema.get_field_index("quality")).to_numpy(zero_copy_only=False)
         return np.concatenate([r[q == 1].sum(0), r[q != 1].sum(0)])
 
-    mass = _total(stats.join(F.broadcast(judged), "doc_id"), by_label, 2 * k)
-    names = name_components(mix, mass[:k], mass[k:])
+    mass = _total(stats.join(F.broadcast(judged), "doc_id"), by_label, 2 * k * len(_HINTS))
+    names = name_cells(mix, *np.split(mass, 2))
     member = np.asarray([[n == c for c in CLASSES] for n in names], float)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             chars = b.column(1).to_numpy()
-            w = (mix.posterior(_matrix(b))[0] @ member) * chars[:, None]
+            f = _matrix(b)
+            w = (in_cells(mix.posterior(f)[0], f) @ member) * chars[:, None]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(w[:, i]) for i in range(4))], ["doc_id", "chars", *CLASSES])
 
     each = stats.mapInArrow(weigh, f"doc_id {kind}, chars long, " + ", ".join(f"{c} double" for c in CLASSES))
