@@ -132,14 +132,17 @@ class Engine:
 
 
 def main(argv: Sequence[str] | None = None) -> None:
-    """Build an index from a dump and store it: ``spark-submit -m postloom.api DUMP OUT [--limit N]``."""
+    """Build an index from a dump and store it, also as shards: ``python -m postloom.api DUMP OUT [--limit N] [--shards A,B,C]``."""
     p = argparse.ArgumentParser(description=main.__doc__)
     p.add_argument("dump")
     p.add_argument("out")
     p.add_argument("--limit", type=int, default=0)
+    p.add_argument("--shards", default="", help="names of shards, set apart by commas, written to OUT/shards")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("postloom").getOrCreate()
-    Engine.open(spark, EngineConf(index_dir=a.out, dump_path=a.dump, corpus_size=a.limit))
+    engine = Engine.open(spark, EngineConf(index_dir=a.out, dump_path=a.dump, corpus_size=a.limit))
+    if a.shards:
+        shard.write_shards(engine.index, f"{a.out}/shards", [s.strip() for s in a.shards.split(",") if s.strip()])
 
 
 if __name__ == "__main__":

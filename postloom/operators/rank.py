@@ -32,15 +32,16 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return every.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"), F.min("pos").alias("first_pos"))
 
 
-def scores(index: Index, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def scores(index: Index, queries: DataFrame, k1: float = K1, b: float = B, counts: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, first_pos) of every document that holds a term of the query.
 
     The terms of the queries are broadcast where Spark measures them to be small, so the postings of other
-    terms are dropped where they are read; only sums per query and document are shuffled.
+    terms are dropped where they are read; only sums per query and document are shuffled. Document
+    frequencies are counted on the postings left, unless ``counts`` (term, df) states them, as for a shard.
     """
     terms = query_terms(queries)
     wanted = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df")) if counts is None else counts
     weighed = terms.join(df, "term").crossJoin(index.stats).filter("avgdl > 0")  # one row of statistics
     weighed = weighed.select("query_id", "term", "first_pos", "avgdl", (F.col("times") * idf(F.col("n"), F.col("df"))).alias("w"))
     hits = wanted.join(weighed, "term")

@@ -93,6 +93,30 @@ def manifest(docs: DataFrame, stats: DataFrame) -> DataFrame:
     return names.crossJoin(stats).select("shards", F.col("n").alias("global_document_count"), F.col("avgdl").alias("global_avgdl"))
 
 
+def write_shards(index: Index, path: str, shards: Sequence[str], replicas: int = REPLICAS) -> None:
+    """Route every document, and write the shards with what each needs to score like one index.
+
+    ``docs`` and ``postings`` are partitioned by shard; ``globals`` holds the counts over all shards of the
+    terms that a shard holds, ``manifest`` the shards and the statistics over all of them.
+    """
+    points = ring(index.docs.sparkSession, shards, replicas)
+    docs, post = assign(index.docs, points, doc_key()), assign(index.postings, points, doc_key())
+    docs.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/docs")
+    # a shard's postings are spread over as many files as tasks hold them, sorted by term within each
+    post.sortWithinPartitions("shard", "term", "doc_id").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
+    shard_globals(post).select("shard", "term", "global_df").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/globals")
+    manifest(docs, index.stats).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def open_shard(spark: SparkSession, path: str, name: str) -> Index:
+    """One written shard: its own documents and postings, the counts and statistics of all shards."""
+    mine = F.col("shard") == name  # only this shard's folders are read
+    docs, post, df = (spark.read.parquet(f"{path}/{t}").filter(mine).drop("shard") for t in ("docs", "postings", "globals"))
+    kept = spark.read.schema("shards array<string>, global_document_count long, global_avgdl double").json(f"{path}/manifest")
+    stats = kept.select(F.col("global_document_count").alias("n"), (F.col("global_document_count") * F.col("global_avgdl")).cast("long").alias("total_length"), F.col("global_avgdl").alias("avgdl"))
+    return Index(docs, post, df.withColumnRenamed("global_df", "df"), stats)
+
+
 def divergence(docs: DataFrame, post: DataFrame, terms: DataFrame) -> DataFrame:
     """(shard, term, local_share, global_share) of the given terms: how far local counts are from global ones."""
     own = post.join(terms.select("term").distinct(), "term", "left_semi").groupBy("shard", "term").agg(F.count(F.lit(1)).alias("local_df"))

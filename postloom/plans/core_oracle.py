@@ -247,6 +247,8 @@ FROM sp JOIN df ON df.term = sp.term JOIN (SELECT shard, count(*) AS c FROM own
 WHERE sp.term IN {PROBES} GROUP BY sp.shard, sp.term"""
 _GATHER = _ONE + "," + _scores() + f", own AS {_assign(SHARDS)}, sh AS (SELECT sc.*, shard FROM sc JOIN own ON own.doc_id = sc.doc_id)"
 SQL["sharded_topk"] = _GATHER + f" SELECT {_RANK} AS rank, doc_id, round(score, 6) AS score, shard FROM sh QUALIFY rank <= 10"
+SQL["shard_store"] = _GATHER + """ SELECT shard, row_number() OVER (PARTITION BY shard ORDER BY round(score, 10) DESC, first_pos, doc_id) AS rank,
+  doc_id, round(score, 6) AS score FROM sh QUALIFY rank <= 5"""
 SQL["degraded_search"] = _GATHER + f""" SELECT CAST(0 AS BIGINT) AS query_id, count(*) AS n_results, string_agg(doc_id, ',' ORDER BY rank) AS doc_ids,
   'shard-1' AS shards_failed, true AS degraded FROM (SELECT {_RANK} AS rank, doc_id FROM sh WHERE shard <> 'shard-1' QUALIFY rank <= 10)"""
 SQL["scatter_timeouts"] = f"""SELECT request, count(*) FILTER (seconds <= 3.2) AS answered,

@@ -413,6 +413,19 @@ def shard_summary(spark: SparkSession, d: str) -> DataFrame:
     return shard.summary(*_shards(spark, d)[1:])
 
 
+@query
+def shard_store(spark: SparkSession, d: str) -> DataFrame:
+    """The best hits of each written shard, read back and scored with global statistics."""
+    path, out = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", None
+    shard.write_shards(_index(spark, d), path, SHARDS)
+    for name in SHARDS:
+        own = shard.open_shard(spark, path, name)
+        best = rank.top_k(rank.scores(own, _one_query(spark), counts=own.df), 5)
+        one = best.select(F.lit(name).alias("shard"), F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query
 def shard_globals(spark: SparkSession, d: str) -> DataFrame:
     return shard.shard_globals(_shards(spark, d)[2])

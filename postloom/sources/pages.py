@@ -82,6 +82,11 @@ def parsed(pages: pd.Series, bases: pd.Series) -> pd.DataFrame:
 parsed = parsed.asNondeterministic()  # once per page, also below an explode
 
 
+def body_text(body: Column) -> Column:
+    """The bytes of a body as text; what is no UTF-8 becomes the replacement character."""
+    return F.make_valid_utf8(body.cast("string"))
+
+
 def gate(status: Column, content_type: Column, n_bytes: Column) -> Column:
     """Why a response is turned away, or ``ok``."""
     kind = F.lower(F.trim(F.substring_index(F.coalesce(content_type, F.lit("")), ";", 1)))

@@ -108,6 +108,28 @@ def test_wiki_clean(spark):
     assert all(r.got == r.want for r in df.select("want", wiki.clean(df.m).alias("got")).collect())
 
 
+def test_command_line_and_shards(spark, corpus, tmp_path):
+    from postloom.api import main
+    from postloom.operators import rank
+
+    pages_ = [(i, f"T{i}", 0, f"{w} " * 200) for i, w in enumerate(("river", "mill", "river mill", "lagoon"), 1)]
+    wiki.write_dump(spark.createDataFrame(pages_, "id long, title string, ns int, text string"), f"file://{tmp_path}/d")
+    main([f"file://{tmp_path}/d", f"file://{tmp_path}/out", "--shards", "a, b"])
+    assert storage.is_stored(spark, f"file://{tmp_path}/out")
+    query = spark.createDataFrame([(0, "river")], "query_id int, query string")
+    whole = {r.doc_id: r.score for r in rank.scores(storage.open_index(spark, f"file://{tmp_path}/out"), query).collect()}
+    parts = {}
+    for name in "ab":
+        own = shard.open_shard(spark, f"file://{tmp_path}/out/shards", name)
+        parts |= {r.doc_id: r.score for r in rank.scores(own, query, counts=own.df).collect()}
+    assert len(whole) == 2 and parts == pytest.approx(whole)
+
+
+def test_body_text(spark):
+    df = spark.createDataFrame([(bytearray(b"ok \xff\xfe caf\xc3\xa9"),), (None,)], "b binary")
+    assert [r.t for r in df.select(pages.body_text(df.b).alias("t")).collect()] == ["ok \ufffd\ufffd café", None]
+
+
 def test_ring(spark):
     keys = spark.range(30_000).withColumnRenamed("id", "doc_id")
     three = ("shard-0", "shard-1", "shard-2")
