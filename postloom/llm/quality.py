@@ -186,7 +186,7 @@ def _total(df: DataFrame, step, size: int) -> np.ndarray:
     parts = df.mapInArrow(partial, "x array<double>")
     if df.rdd.getNumPartitions() > 64:  # else one array per partition is little for the driver
         parts = parts.repartition(16).mapInArrow(add, "x array<double>")
-    return np.sum([np.asarray(r.x) for r in parts.collect()], axis=0)
+    return sum((np.asarray(r.x) for r in parts.collect()), np.zeros(size))
 
 
 def segment_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
