@@ -33,14 +33,14 @@ def best_terms(postings: DataFrame, indexed_docs: DataFrame) -> DataFrame:
     """(build_id, doc_id, term, weight): each document's term of highest tf * ln(1 + (N - df + 0.5) / (df + 0.5)).
 
     Among equal weights the smaller term in code point order. df counts distinct documents of the build
-    in ``postings``, N those in ``indexed_docs`` (0 for a build that is not there, where the weight is
-    held at 0 or above). Documents that only have null terms do not come out; an empty table gives an
+    in ``postings``, N those in ``indexed_docs``: 0 for a build that is not there, whose weights are then
+    negative. Postings delivered twice count once, a null tf is 0. Documents that only have null terms do not come out; an empty table gives an
     empty result.
     """
     once = distinct_postings(postings)
     df = once.groupBy("build_id", "term").agg(F.count(F.lit(1)).alias("df"))
     docs = indexed_docs.dropna(subset=["build_id", "doc_id"]).select("build_id", "doc_id").distinct().groupBy("build_id").agg(F.count(F.lit(1)).alias("n"))
-    n = F.greatest(F.coalesce("n", F.lit(0)), F.lit(0))
+    n = F.coalesce("n", F.lit(0))
     stats = lookup_join(df, docs, ["build_id"]).select(
         "build_id", "term", "df", F.log(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
     )
@@ -80,7 +80,7 @@ def _em_batches(own: float, tolerance: float, iterations: int):
 
         def solve(t: pa.Table) -> pa.RecordBatch:
             b, d = t.column("build_id").to_numpy(), t.column("doc_id").to_numpy()
-            starts = np.append(0, np.flatnonzero((np.diff(b) != 0) | (np.diff(d) != 0)) + 1)
+            starts = np.append(0, np.flatnonzero((b[1:] != b[:-1]) | (d[1:] != d[:-1])) + 1)
             p = em(starts, t.column("tf").to_numpy().astype(float), t.column("bg").to_numpy(), own, tolerance, iterations)
             out = t.select(["build_id", "doc_id", "term"]).append_column("p", pa.array(p)).combine_chunks()
             return out.to_batches()[0]
@@ -90,7 +90,7 @@ def _em_batches(own: float, tolerance: float, iterations: int):
                 continue
             # all but the last document of the batch are complete
             last_b, last_d = b.column("build_id")[-1].as_py(), b.column("doc_id")[-1].as_py()
-            bn, dn = b.column("build_id").to_numpy(), b.column("doc_id").to_numpy()
+            bn, dn = (b.column(c).to_numpy(zero_copy_only=False) for c in ("build_id", "doc_id"))
             ended = np.flatnonzero((bn != last_b) | (dn != last_d))
             if held and ((held[-1].column("build_id")[-1].as_py(), held[-1].column("doc_id")[-1].as_py()) != (last_b, last_d) or len(ended)):
                 cut = int(ended[-1]) + 1 if len(ended) else 0

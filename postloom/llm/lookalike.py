@@ -205,7 +205,7 @@ def normal_forms(entries: DataFrame) -> DataFrame:
 def same_looking_pairs(forms: DataFrame) -> DataFrame:
     """(field, id_a, id_b), id_a < id_b: entries of one field of equal form whose raw texts differ.
 
-    Only pairs of different spellings are formed, so copies of one spelling never meet each other: the
+    The pairs are what is asked for; an empty table gives none. Only pairs of different spellings are formed, so copies of one spelling never meet each other: the
     rows of the more frequent spelling are joined with the list of ids of the less frequent one.
     """
     keyed = write_stage(forms.select("field", "id", "raw", F.sha2("form", 256).alias("look")), "looks")
