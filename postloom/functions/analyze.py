@@ -140,8 +140,8 @@ def with_terms(df: DataFrame, text: str = "text", out: str = "terms", engine: st
     """``df`` with the array of its text's terms, in order and with repeats; empty for a null text.
 
     ``arrow`` analyses batches in Python, ``native`` uses built-in expressions and leaves only the texts
-    with expanding characters to Python. Both give the same terms; measured, ``arrow`` takes less than half
-    the time, so it is the default.
+    with expanding characters to Python, in a second pass over the input. Both give the same terms, and warm
+    take about the same time.
     """
     ship(df.sparkSession)
     if engine == "arrow":
