@@ -21,8 +21,8 @@ from postloom.session import spread
 
 WORDS = 12  # consecutive words that make a leak
 BLOCK_WORDS = 500_000  # words of test items that are broadcast at once, about 30 MB with their seeds
-# Fixed masks for windows of 12 words: 1 counts, 0 is ignored.
-MASKS_12 = ("110100110111", "111011001011")
+# Fixed masks for windows of 12 words: 1 counts, 0 is ignored. Every two of the inner positions are ignored by one of them.
+MASKS_12 = ("110100110111", "111011001011", "101011010101", "101110100011", "110001101101", "100101011011", "111010011001")
 _WORD = re.compile(r"[^\W_]+")
 _MISS = -2  # what a replaced word costs a stretch; an equal one gives 1
 _KEPT_WORDS = 1 << 20
@@ -40,7 +40,20 @@ def masks(span: int) -> list[np.ndarray]:
     if span < 4:
         return [np.arange(span)]
     inner = np.arange(span)
-    return [inner[(inner % 3 != r) | (inner == 0) | (inner == span - 1)] for r in (1, 2)]
+    found = [inner[(inner % 3 != r) | (inner == 0) | (inner == span - 1)] for r in (1, 2, 0)]
+    return [m for m in found if len(m) < span]
+
+
+def windows(span: int) -> list[tuple[int, np.ndarray]]:
+    """(width, mask) of the seeds that find ``span`` words with two of them replaced if span is 12, with one if it is at least 4.
+
+    A replaced word at an end leaves a window shorter by one: for 12 words one that tolerates another
+    replaced word, for fewer words an exact one. Below 4 words nothing is tolerated.
+    """
+    own = [(span, m) for m in masks(span)]
+    if span < 4:
+        return own
+    return own + (windows(span - 1) if span == 12 else [(span - 1, np.arange(span - 1))])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -82,8 +95,8 @@ def item_index(items: list[tuple[int, str]], least: int = WORDS) -> dict:
     found: dict[tuple[int, int], list] = {}
     for k, (_, h) in enumerate(rows):
         span = min(least, len(h))
-        for m, mask in enumerate(masks(span)):
-            s = seeds(h, mask, span, m)
+        for m, (width, mask) in enumerate(windows(span)):
+            s = seeds(h, mask, width, m)
             found.setdefault((span, m), []).append((s, np.full(len(s), k), np.arange(len(s))))
     tables = {}
     for at, parts in found.items():
@@ -116,7 +129,8 @@ def search(texts: list[str | None], index: dict, hasher: _Hasher | None = None)
     starts = np.cumsum([0, *(len(h) + 1 for h in hashed)])
     cands = []
     for (span, m), (table, item, pos) in index["tables"].items():
-        s = seeds(flat, masks(span)[m], span, m)
+        width, mask = windows(span)[m]
+        s = seeds(flat, mask, width, m)
         left = np.searchsorted(table, s, "left")
         hit = np.flatnonzero(table[np.minimum(left, len(table) - 1)] == s) if len(s) else np.zeros(0, np.int64)
         if not len(hit):
@@ -125,7 +139,8 @@ def search(texts: list[str | None], index: dict, hasher: _Hasher | None = None)
         at = np.repeat(left[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         where = np.repeat(hit, n)
         doc = np.searchsorted(starts, where, "right") - 1
-        cands.append(np.stack([doc, item[at], where - starts[doc] - pos[at]]))
+        own = where + width < starts[doc + 1]  # a window that reaches into the next text is none
+        cands.append(np.stack([doc, item[at], where - starts[doc] - pos[at]])[:, own])
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for doc, item, diagonal in np.unique(np.concatenate(cands, axis=1), axis=1).T.tolist() if cands else ():
         run, size, missed = overlap(hashed[doc], index["hashes"][item], diagonal)
@@ -142,8 +157,10 @@ def leaked(
     """(doc_id, item_id, item_words, equal_run, stretch, replaced): documents that share a seed with an item.
 
     ``equal_run`` is the longest run of equal consecutive words, ``stretch`` the words of the best passage
-    that tolerates replaced ones and ``replaced`` their number. Items below ``least`` words are searched as
-    a whole. Ids that are null and texts that are null or without words give no row; rows repeated under
+    that tolerates replaced ones and ``replaced`` their number. What shares a seed for certain, by default: 12
+    consecutive words of an item of which at most two are replaced, and the whole of an item of 4 to 11 words
+    of which at most one is; items below 4 words are found unchanged only. With more words replaced a passage
+    may or may not be found. Items below ``least`` words are searched as a whole. Ids that are null and texts that are null or without words give no row; rows repeated under
     one id are searched each, and the longest run comes out. Whole texts are searched. Items are taken in
     blocks by a hash of their id, so what is broadcast at once does not grow with their number.
     """

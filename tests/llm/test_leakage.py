@@ -65,3 +65,22 @@ def test_masks_keep_their_ends():
         for m in leakage.masks(span):
             assert m[0] == 0 and m[-1] == span - 1 and (span < 4 or len(m) < span)
     assert len(leakage.seeds(np.arange(5, dtype=np.uint64), np.arange(12), 12, 0)) == 0
+
+
+def _found(item, at):
+    w = item.split()
+    for k in at:
+        w[k] = f"x{k}"
+    return len(leakage.search(["unrelated text", "so " + " ".join(w) + " end", " ".join(w)], leakage.item_index([(1, item)]))) == 2
+
+
+def test_no_replaced_position_is_blind():
+    for n in range(4, 12):
+        assert all(_found(" ".join(f"a{i}" for i in range(n)), [k]) for k in range(n))
+    item = " ".join(f"a{i}" for i in range(12))
+    assert all(_found(item, [j, k]) for j in range(12) for k in range(j + 1))
+
+
+def test_a_passage_over_two_texts_is_none():
+    item = [f"a{i}" for i in range(13)]
+    assert leakage.search([" ".join(item[:5]), " ".join(item[6:])], leakage.item_index([(1, " ".join(item))])) == []
