@@ -117,9 +117,11 @@ def open_shard(spark: SparkSession, path: str, name: str) -> Index:
     return Index(docs, post, df.withColumnRenamed("global_df", "df"), stats)
 
 
-def divergence(docs: DataFrame, post: DataFrame, terms: DataFrame) -> DataFrame:
-    """(shard, term, local_share, global_share) of the given terms: how far local counts are from global ones."""
-    own = post.join(terms.select("term").distinct(), "term", "left_semi").groupBy("shard", "term").agg(F.count(F.lit(1)).alias("local_df"))
+def divergence(docs: DataFrame, post: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(shard, term, local_share, global_share) of the given terms, or of all: how far local counts are from global ones."""
+    if terms is not None:
+        post = post.join(terms.select("term").distinct(), "term", "left_semi")
+    own = post.groupBy("shard", "term").agg(F.count(F.lit(1)).alias("local_df"))
     size = docs.groupBy("shard").agg(F.count(F.lit(1)).alias("local_n"))
     total = size.agg(F.sum("local_n").alias("n"))
     whole = own.groupBy("term").agg(F.sum("local_df").alias("df"))

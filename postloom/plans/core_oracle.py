@@ -245,6 +245,9 @@ SQL["cluster_manifest"] = _SHARDED + """SELECT (SELECT string_agg(DISTINCT shard
 SQL["idf_divergence"] = _SHARDED + f"""SELECT sp.shard, sp.term, round(count(*) / any_value(c), 9) AS local_share, round(any_value(df) / any_value(n), 9) AS global_share
 FROM sp JOIN df ON df.term = sp.term JOIN (SELECT shard, count(*) AS c FROM own GROUP BY shard) s ON s.shard = sp.shard, st
 WHERE sp.term IN {PROBES} GROUP BY sp.shard, sp.term"""
+SQL["idf_divergence_all"] = _SHARDED + """SELECT sp.shard, sp.term, round(count(*) / any_value(c), 9) AS local_share, round(any_value(df) / any_value(n), 9) AS global_share
+FROM sp JOIN df ON df.term = sp.term JOIN (SELECT shard, count(*) AS c FROM own GROUP BY shard) s ON s.shard = sp.shard, st
+GROUP BY sp.shard, sp.term"""
 _GATHER = _ONE + "," + _scores() + f", own AS {_assign(SHARDS)}, sh AS (SELECT sc.*, shard FROM sc JOIN own ON own.doc_id = sc.doc_id)"
 SQL["sharded_topk"] = _GATHER + f" SELECT {_RANK} AS rank, doc_id, round(score, 6) AS score, shard FROM sh QUALIFY rank <= 10"
 SQL["shard_store"] = _GATHER + """ SELECT shard, row_number() OVER (PARTITION BY shard ORDER BY round(score, 10) DESC, first_pos, doc_id) AS rank,

@@ -444,6 +444,14 @@ def idf_divergence(spark: SparkSession, d: str) -> DataFrame:
     return got.select("shard", "term", F.round("local_share", 9).alias("local_share"), F.round("global_share", 9).alias("global_share"))
 
 
+@query
+def idf_divergence_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same over all terms of the sharded postings."""
+    _, docs, post = _shards(spark, d)
+    got = shard.divergence(docs, post)
+    return got.select("shard", "term", F.round("local_share", 9).alias("local_share"), F.round("global_share", 9).alias("global_share"))
+
+
 @query
 def sharded_topk(spark: SparkSession, d: str) -> DataFrame:
     i, docs, _ = _shards(spark, d)

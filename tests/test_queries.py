@@ -33,3 +33,8 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_divergence_covers_every_term(spark, sf_dir):
+    every, probes = (QUERIES[n](spark, sf_dir) for n in ("idf_divergence_all", "idf_divergence"))
+    assert every.count() == QUERIES["shard_globals"](spark, sf_dir).count() and probes.exceptAll(every).isEmpty()
