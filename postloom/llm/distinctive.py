@@ -7,6 +7,7 @@ document's own distribution; what remains ranks the terms.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from postloom.session import write_stage
 
 OWN = 0.1  # share of the document's own model in the mixture
 TOLERANCE = 1e-7
-ITERATIONS = 200
+ITERATIONS = sys.maxsize  # none but the tolerance ends the steps
 LARGE = 1_000_000  # postings of a document beyond which it is not gathered into one task
 
 
@@ -131,6 +132,8 @@ def parsimonious(
 ) -> DataFrame:
     """(build_id, doc_id, term, p): the converged probability of each term in its document's own model.
 
+    Each document takes as many steps as it needs to meet the tolerance, unless ``iterations`` bounds them.
+
     The probabilities of a document sum to 1; terms that the background of the build explains fall
     towards 0. Postings delivered twice count once; rows with a null key are left out; a document whose
     counts are all 0 gets probabilities of 0. An empty table gives an empty result. Documents of more

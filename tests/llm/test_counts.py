@@ -116,3 +116,12 @@ def test_best_terms(spark):
     docs = spark.createDataFrame([(1, i) for i in range(1, 7)], "build_id int, doc_id long")
     got = {r.doc_id: r.term for r in distinctive.best_terms(spark.createDataFrame(rows, POST), docs).collect()}
     assert got == {1: "a", 2: "b", 3: "c", 4: "d"}
+
+
+def test_em_goes_on_until_it_converges():
+    starts, tf, bg = np.array([0]), np.array([1.0, 1.0]), np.array([0.1, 0.2111])
+    p = distinctive.em(starts, tf, bg)
+    assert np.abs(distinctive.em(starts, tf, bg, iterations=200) - p).max() > 1e-3
+    once = distinctive.OWN * p
+    e = tf * once / (once + (1 - distinctive.OWN) * bg)
+    assert np.abs(e / e.sum() - p).max() <= distinctive.TOLERANCE
