@@ -10,7 +10,8 @@ are then merged at their boundaries.
    (key, order) value that makes up a third of the table is spread. The sorted partitions are written
    once, with each row's position, as recomputed range bounds might differ.
 2. Rows per partition, prefix-summed, give each partition's offset; offset + position = row number.
-3. ``chunk = row number div chunk_rows``: all chunks but the last hold exactly ``chunk_rows`` rows.
+3. ``chunk = row number div chunk_rows``: all chunks but the last hold exactly ``chunk_rows`` rows, and more
+   than that once there are over 2^17 chunks.
 4. Within a chunk, neighbours are compared and one state per (chunk, key) is made.
 5. The states of a key are merged in chunk order. There are at most #keys + #chunks of them.
 """
@@ -22,10 +23,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postloom.session import default_partitions, write_stage
+from postloom.session import sized_partitions, write_stage
 
 _POS_BITS = 33  # monotonically_increasing_id: partition number above, position in it below
 CHUNK_ROWS = 1 << 16
+MOST_CHUNKS = 1 << 17  # beyond so many chunks of CHUNK_ROWS, chunks grow instead
+
+
+def chunk_size(n_rows: int, chunk_rows: int = CHUNK_ROWS) -> int:
+    """Rows of a chunk, so that the boundary states of a single key stay few however many rows it has."""
+    return max(chunk_rows, -(-n_rows // MOST_CHUNKS))
 
 
 def _fresh(name: str, taken: Sequence[str]) -> str:
@@ -41,14 +48,22 @@ def number_rows(
     """Rows in the total order of (keys, order), numbered from 0 without gaps, as column ``row_no``.
 
     Only the named columns are kept. Nulls sort first. Rows equal in all of (keys, order) come in scan
-    order. An empty table gives an empty result.
+    order. An empty table gives an empty result. As many partitions are made as the estimated size asks for.
     """
+    return _numbered(df, keys, order, payload, partitions)[0]
+
+
+def _numbered(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], payload: Sequence[str] = (), partitions: int | None = None
+) -> tuple[DataFrame, int]:
+    """The same, and the number of rows."""
     cols = list(dict.fromkeys([*keys, *order, *payload]))
     tie, pos = _fresh("_tie", cols), _fresh("_pos", cols)
     if "row_no" in {c.lower() for c in cols}:
         raise ValueError("row_no is the name of the result's own column")
-    n = partitions or default_partitions(df.sparkSession)
-    ranged = df.select(*cols).withColumn(tie, F.monotonically_increasing_id())
+    slim = df.select(*cols)
+    n = partitions or sized_partitions(slim)
+    ranged = slim.withColumn(tie, F.monotonically_increasing_id())
     ranged = ranged.repartitionByRange(n, *keys, *order, tie).sortWithinPartitions(*keys, *order, tie).drop(tie)
     placed = write_stage(ranged.withColumn(pos, F.monotonically_increasing_id()), "numbered")
     part = F.shiftright(F.col(pos), _POS_BITS)
@@ -57,7 +72,7 @@ def number_rows(
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     row_no = F.col("_start") + F.col(pos).bitwiseAND((1 << _POS_BITS) - 1)
-    return placed.join(F.broadcast(starts), part == F.col("_part")).select(*cols, row_no.alias("row_no"))
+    return placed.join(F.broadcast(starts), part == F.col("_part")).select(*cols, row_no.alias("row_no")), placed.count()
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -85,10 +100,10 @@ def chunked_group_stats(
     o = {f"o{i}": c for i, c in enumerate(order)}
     s = {f"s{i}": c for i, c in enumerate(sums)}
     slim = df.select(*(df[c].alias(a) for a, c in {**k, **o, **s}.items()))
-    rows = number_rows(slim, list(k), list(o), list(s), partitions)
+    rows, total = _numbered(slim, list(k), list(o), list(s), partitions)
     rows = rows.select(
         *k, F.struct(*k).alias("k"), F.struct(*o).alias("o"), *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in s),
-        F.floor(F.col("row_no") / F.lit(chunk_rows)).alias("chunk"), "row_no",
+        F.floor(F.col("row_no") / F.lit(chunk_size(total, chunk_rows))).alias("chunk"), "row_no",
     )
     w = Window.partitionBy("chunk").orderBy("row_no")
     new = ~(_same(F.col("k"), F.lag("k").over(w)) & _same(F.col("o"), F.lag("o").over(w)))
@@ -120,7 +135,8 @@ def key_ranks(
     A chunk ranks its own rows; only the key it shares with earlier chunks needs a carry, one number per
     chunk, so nothing that grows with the rows of a key reaches a single task.
     """
-    rows = number_rows(df, keys, order, payload, partitions).withColumn("_chunk", F.floor(F.col("row_no") / F.lit(chunk_rows)))
+    rows, total = _numbered(df, keys, order, payload, partitions)
+    rows = rows.withColumn("_chunk", F.floor(F.col("row_no") / F.lit(chunk_size(total, chunk_rows))))
     per = rows.groupBy("_chunk", *keys).agg(F.count(F.lit(1)).alias("_n"))
     b = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = per.withColumn("_carry", F.sum("_n").over(b)).filter("_carry is not null").groupBy("_chunk").agg(
@@ -158,20 +174,42 @@ def lookup_join(
 ) -> DataFrame:
     """Left outer join of ``left`` with a lookup table that has one row per key, safe from heavy keys.
 
-    A key with more than ``max(min_rows, rows / most)`` rows on the left is heavy; there can be no more
-    than ``most`` of them, so their lookup rows are broadcast with a proven bound. The remaining keys are
-    joined by shuffle, and none of them can dominate a task. ``count_col`` of ``right`` states the rows
-    per key where they are known already; otherwise they are counted. Null keys match nothing.
+    A key with more than ``max(min_rows, rows / most)`` rows on the left is heavy. There can be no more than
+    ``most`` of them, and only a hash of their keys is broadcast, with the number of salts each needs: the
+    rows of a heavy key are spread over that many groups, and its lookup row is copied to each. So no lookup
+    row is broadcast, whatever its size, ``left`` is read once, and no key can dominate a task. Without heavy
+    keys it is a plain join. ``count_col`` of ``right`` states the rows per key where they are known already
+    (``right`` is then read for them first, so it should be a written table); otherwise they are counted.
+    Null keys match nothing.
     """
     on = list(on)
-    cnt, hit = _fresh("_cnt", [*left.columns, *right.columns]), _fresh("_hit", [*left.columns, *right.columns])
+    names = [*left.columns, *right.columns]
+    cnt, key, salt, salts = (_fresh(c, names) for c in ("_cnt", "_key", "_salt", "_salts"))
     if count_col is None:
-        known = right.join(left.groupBy(*on).agg(F.count(F.lit(1)).alias(cnt)), on)
+        known = write_stage(right.join(left.groupBy(*on).agg(F.count(F.lit(1)).alias(cnt)), on, "left"), "known")
     else:
         known = right.withColumn(cnt, F.col(count_col))
-    limit = F.greatest(F.lit(min_rows), F.coalesce(known.agg((F.sum(cnt) / F.lit(most)).cast("long")).scalar(), F.lit(0)))
-    heavy = F.broadcast(known.filter(F.col(cnt) > limit).drop(cnt).withColumn(hit, F.lit(True)))
-    first = left.join(heavy, on, "left").filter(F.col(hit)).drop(hit)
-    rest = left.join(F.broadcast(known.filter(F.col(cnt) > limit).select(*on)), on, "left_anti")
-    rest = rest.join(known.filter(F.col(cnt) <= limit).drop(cnt), on, "left")
-    return first.unionByName(rest)
+    total, largest = known.agg(F.sum(cnt), F.max(cnt)).first()
+    limit = max(min_rows, int(total or 0) // most)
+    if not largest or largest <= limit:
+        return left.join(known.drop(cnt), on, "left")
+    kinds = {f.name: f.dataType for f in right.schema}
+    hashed = F.xxhash64(*(F.col(c).cast(kinds[c]) for c in on))
+    heavy = known.filter(F.col(cnt) > limit).groupBy(hashed.alias(key)).agg(F.max(F.ceil(F.col(cnt) / limit)).cast("int").alias(salts))
+    heavy = F.broadcast(write_stage(heavy, "heavy"))  # at most ``most`` rows of 12 bytes
+    # the salt of a row is a hash of its values, so that a lost task chooses the same again
+    own = F.when(F.col(salts).isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), F.col(salts))).cast("int")
+    many = left.withColumn(key, hashed).join(heavy, key, "left").withColumn(salt, own).drop(key, salts)
+    copies = F.sequence(F.lit(0), F.coalesce(salts, F.lit(1)) - 1)
+    few = known.drop(cnt).withColumn(key, hashed).join(heavy, key, "left").withColumn(salt, F.explode(copies)).drop(key, salts)
+    return many.join(few, [*on, salt], "left").drop(salt)
+
+
+def small_join(left: DataFrame, right: DataFrame, on: Sequence[str], most: int = 100_000) -> DataFrame:
+    """Left outer join with a lookup table that is expected to be small, as one row per build is.
+
+    The table is written and its rows are counted: up to ``most`` of them are broadcast, more are joined by
+    ``lookup_join``.
+    """
+    kept = write_stage(right, "small")
+    return left.join(F.broadcast(kept), list(on), "left") if kept.count() <= most else lookup_join(left, kept, on)

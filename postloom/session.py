@@ -91,13 +91,31 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._stage_path = path
+    return kept
+
+
+def drop_stage(df: DataFrame) -> None:
+    """Delete a written stage that nothing will read again, as in loops that write one table a step."""
+    if (path := getattr(df, "_stage_path", None)) is not None:
+        remove(df.sparkSession, path)
 
 
 def default_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+PARTITION_BYTES = 128 << 20
+_MOST_PARTITIONS = 1 << 16
+
+
+def sized_partitions(df: DataFrame) -> int:
+    """Partitions for a shuffle whose number can't adapt at run time: by the size that the optimizer estimates."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(default_partitions(df.sparkSession), min(_MOST_PARTITIONS, -(-size // PARTITION_BYTES)))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A table of fewer partitions than there are cores, as one small file gives, spread over all cores.
 
