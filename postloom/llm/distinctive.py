@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.operators.skew import lookup_join
-from postloom.session import write_stage
+from postloom.operators.skew import lookup_join, small_join
+from postloom.session import drop_stage, write_stage
 
 OWN = 0.1  # share of the document's own model in the mixture
 TOLERANCE = 1e-7
@@ -38,13 +38,12 @@ def best_terms(postings: DataFrame, indexed_docs: DataFrame) -> DataFrame:
     negative. Postings delivered twice count once, a null tf is 0. Documents that only have null terms do not come out; an empty table gives an
     empty result.
     """
-    once = distinct_postings(postings)
+    once = write_stage(distinct_postings(postings), "postings")
     df = once.groupBy("build_id", "term").agg(F.count(F.lit(1)).alias("df"))
     docs = indexed_docs.dropna(subset=["build_id", "doc_id"]).select("build_id", "doc_id").distinct().groupBy("build_id").agg(F.count(F.lit(1)).alias("n"))
     n = F.coalesce("n", F.lit(0))
-    stats = lookup_join(df, docs, ["build_id"]).select(
-        "build_id", "term", "df", F.log(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
-    )
+    idf = F.log(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    stats = write_stage(small_join(df, docs, ["build_id"]).select("build_id", "term", "df", idf.alias("idf")), "idf")
     scored = lookup_join(once, stats, ["build_id", "term"], "df").select("build_id", "doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     best = scored.groupBy("build_id", "doc_id").agg(F.min(F.struct((-F.col("w")).alias("neg"), "term")).alias("b"))
     return best.select("build_id", "doc_id", "b.term", (-F.col("b.neg")).alias("weight"))
@@ -121,7 +120,8 @@ def _em_tables(rows: DataFrame, own: float, tolerance: float, iterations: int) -
         step = F.when((F.col("most") > tolerance) & (F.col("sum_e") > 0), F.col("e") / F.col("sum_e")).otherwise(F.col("p"))
         new = lookup_join(e, per, key, None, 1).withColumn("next", step)
         new = new.withColumn("moved", F.abs(F.col("next") - F.col("p"))).withColumn("p", F.col("next"))
-        now = write_stage(new.select(*key, "term", "tf", "bg", "total", "p", "moved"), "em")
+        before, now = now, write_stage(new.select(*key, "term", "tf", "bg", "total", "p", "moved"), "em")
+        drop_stage(before)
         if now.filter(F.col("moved") > tolerance).isEmpty():
             break
     return now.select(*key, "term", "p")
@@ -140,9 +140,10 @@ def parsimonious(
     than ``large`` postings are never gathered: they take the same steps as table operations.
     """
     once = write_stage(distinct_postings(postings), "postings")
-    terms = once.groupBy("build_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tot"))
+    terms = write_stage(once.groupBy("build_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tot")), "terms")
     totals = terms.groupBy("build_id").agg(F.sum("tot").alias("all"))
-    back = lookup_join(terms, totals, ["build_id"]).select("build_id", "term", "df", (F.col("tot") / F.greatest("all", F.lit(1))).alias("bg"))
+    back = small_join(terms, totals, ["build_id"]).select("build_id", "term", "df", (F.col("tot") / F.greatest("all", F.lit(1))).alias("bg"))
+    back = write_stage(back, "background")
     rows = lookup_join(once, back, ["build_id", "term"], "df").select("build_id", "doc_id", "term", "tf", "bg")
     big = once.groupBy("build_id", "doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > large).select("build_id", "doc_id")
     if big.isEmpty():

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.operators.skew import lookup_join, number_rows
+from postloom.operators.skew import lookup_join, number_rows, small_join
 from postloom.session import write_stage
 
 RANGE = 1024  # identifiers per count array
@@ -94,12 +94,13 @@ def value_frequencies(rows: DataFrame, group: Sequence[str], entry: str, record:
         (F.coalesce(rows[n].cast("long"), F.lit(0)) if n else F.lit(1).cast("long")).alias("n"),
     ).dropna(subset=[*g, "e", "r"])
     once = write_stage(slim.groupBy(*g, "e", "r").agg(F.max("n").alias("n")), "occurrences")
-    known = once.groupBy(*g, "e").agg(F.count(F.lit(1)).alias("n_rows"))
-    dictionary = number_rows(known, [*g, "e"], ["n_rows"]).withColumnRenamed("row_no", "id")
+    # counted for the sake of heavy values only; written, as numbering reads its input twice
+    known = write_stage(once.groupBy(*g, "e").agg(F.count(F.lit(1)).alias("n_rows")), "values")
+    dictionary = number_rows(known, [*g, "e"], [], ["n_rows"]).withColumnRenamed("row_no", "id")
     coded = lookup_join(once, dictionary, [*g, "e"], "n_rows").select("id", "n")
     arrays = coded.mapInArrow(_count_block, "range_no long, slots array<int>, occ array<long>, rec array<long>")
     sums = arrays.repartition("range_no").sortWithinPartitions("range_no").mapInArrow(_sum_ranges, "id long, occurrences long, records long")
-    got = sums.join(dictionary, "id")
+    got = sums.join(dictionary.drop("n_rows"), "id")
     return got.select(*(F.col(a).alias(c) for a, c in zip(g, group, strict=True)), F.col("e").alias(entry), "occurrences", "records")
 
 
@@ -116,7 +117,7 @@ def build_frequencies(postings: DataFrame, indexed_docs: DataFrame) -> DataFrame
     )
     freq = value_frequencies(terms.unionByName(lengths), ["build_id", "field"], "entry", "doc_id", "n")
     docs = indexed_docs.dropna(subset=["build_id", "doc_id"]).select("build_id", "doc_id").distinct().groupBy("build_id").agg(F.count(F.lit(1)).alias("n_docs"))
-    got = lookup_join(freq, docs, ["build_id"]).withColumn("n_docs", F.coalesce("n_docs", F.lit(0)))
+    got = small_join(freq, docs, ["build_id"]).withColumn("n_docs", F.coalesce("n_docs", F.lit(0)))
     is_term = F.col("field") == "term"
     return got.withColumn("rare", F.when(is_term, (F.col("occurrences") < 4) | (F.col("records") < 2)).otherwise(F.col("records") == 1)).withColumn(
         "common", F.when(is_term, F.col("records") * 10 > F.col("n_docs")).otherwise(F.col("records") * 20 > F.col("n_docs"))
