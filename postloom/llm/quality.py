@@ -1,35 +1,26 @@
 """Text quality: statistics of documents and of their segments, and a Gaussian mixture that tells them apart.
 
-A segment is a sentence of a line, or the whole line where no sentence ends in it. Eleven statistics describe
-each; standardised, they are fitted by a Gaussian mixture with expectation-maximisation over all segments
-of the corpus. Judged documents tell which components hold prose, also by the common words around a segment;
-inspected examples tell lists, tables and junk apart. A document is then described by the shares of its characters in the four classes.
+Eleven statistics describe each segment. They are fitted by a Gaussian mixture with expectation-maximisation
+over all segments of the corpus: each segment counts in a cell of a fixed grid, and the cells, with the number
+of their segments, their means and their variances, stand for the segments in every step, until the fit has
+converged. Judged documents tell which components hold prose, inspected examples tell lists, tables and junk
+apart. Each segment is then classed by its own statistics, and a document is described by the shares of its
+characters in the four classes.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postloom.llm.segments import COMMON_WORDS, FEATURES, N, Tables, text_statistics
 from postloom.session import spread, write_stage
 
-# Common function words of some languages.
-COMMON_WORDS = frozenset(
-    """the of and to a in is that it for was on are as with be at by from this not but or an which had has have were they its their
-    so than then when if what who only each every can will would there here no
-    der die das und ist nicht ein eine einen dem den des im zu von mit für auf sind wurde es sich hier wie als auch nach noch ihre hat
-    le la les de du un une et est que qui dans pour sur par pas ne ce cette il elle on se sont avec au aux où sa ses son
-    el los las y en del al una con para no más su sus lo como fue se cada
-    и в во на не что с по это как из от к для был была где там эта этот она всей около здесь
-    το της την τη των του η ο οι και είναι στη στην στο με για μια ένα δεν που έχει κάθε
-    في من على إلى أن هذا هذه التي الذي عن مع كان لا ما قرب حوالي عام بين بعد قبل كل""".split()
-)
 CLASSES = ("prose", "list", "table", "junk")
 # Inspected examples of the classes that the judged documents do not tell apart.
 EXAMPLES = {
@@ -41,71 +32,34 @@ EXAMPLES = {
     ],
 }
 
-_TOKEN = re.compile(r"[^\W_]+")
-_SPLIT = re.compile(r"(?<=[.!?…])(?<!^\d\.)(?<!^\d\d\.)(?<!^\d\d\d\.)[\"'”’»)]*\s+|(?<=[。！？])(?![」』])")
-_END = tuple(".!?…。！？؟।")
-_CLOSERS = "\"'”’»)」』"
-_PARTICLES = re.compile("[のはにをがでともへ]")
-_UNSPACED = re.compile("[぀-ヿ一-鿿]")
-_KOREAN = re.compile("[가-힣]+(?:은|는|이|가|을|를|에|에서|에는|의|다|로|으로|들은|과|와)$")
-_BROKEN = re.compile("[�\x7f-\x84\x86-\x9f]|[ÃÂÐÑ][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œ]|â€")
-_SEPARATORS = re.compile(r"[,;:|/·•=\t{}<>]|\s{2,}| [-–] ")
-REACH = 2  # neighbours on either side
-_AROUND = (0.1, 0.2)  # shares of common words around a segment that set cells apart
-_HINTS = (0.05, 0.5, 0.95)  # how much a cell by itself speaks for prose
+_COMMON_SHARE = 0.3  # share of common words that speaks for prose by itself
 _PRIOR = 0.003  # what that weighs, as a share of all judged characters
-FEATURES = ("common", "word_length", "symbols", "digits", "ended", "log_words", "separators", "repeated", "broken", "capitals", "around")
-N = len(FEATURES)
+# Width of the grid's cells in each statistic, and how many there are.
+STEPS = dict(zip(FEATURES, (0.1, 1.0, 0.1, 0.1, 1.0, 0.4, 0.25, 0.2, 0.5, 0.2, 0.1), strict=True))
+LEVELS = dict(zip(FEATURES, (11, 21, 11, 11, 2, 11, 9, 6, 5, 6, 11), strict=True))
+ONE_TASK = 200_000  # cells, 40 MB, that are fitted in one task; more are fitted by a job a step
+_tables: list[Tables] = []
 
 
-def segments(text: str) -> list[str]:
-    """Sentences of the lines of a text; none is blank."""
-    return [s for line in text.split("\n") if line.strip() for s in _SPLIT.split(line) if s and s.strip()]
+def tables() -> Tables:
+    """The tables of this process."""
+    if not _tables:
+        _tables.append(Tables())
+    return _tables[0]
 
 
 def features(segment: str) -> list[float]:
-    """The statistics of one segment by itself, in the order of FEATURES."""
-    return text_features([segment])[0].tolist()
-
-
-def _measures(segment: str) -> list[float]:
-    """The same, but the number of words is not bounded yet."""
-    core = segment.strip()
-    every = _TOKEN.findall(core)
-    found = [w for w in every if w.isalpha()]
-    n = max(1, len(every))
-    letters, digits = sum(map(str.isalpha, core)), sum(map(str.isdigit, core))
-    shown = max(1, len(core) - sum(map(str.isspace, core)))
-    low = [w.lower() for w in found]
-    unspaced = len(_UNSPACED.findall(core))
-    words, length = float(n), sum(map(len, found)) / max(1, len(found))
-    if 2 * unspaced > letters > 0:  # scripts without blanks: about as many characters to a word as below
-        common, words, length = len(_PARTICLES.findall(core)), unspaced / 2.2, 4.5
-    else:
-        common = sum(w in COMMON_WORDS for w in low) + sum(1 for w in found if _KOREAN.match(w))
-    again = sum(w in low[max(0, i - 8) : i] for i, w in enumerate(low))
-    bare = core.rstrip(_CLOSERS)
-    return [
-        min(1.0, common / max(1.0, words)), min(length, 20.0), (max(0, shown - letters - digits) / shown) ** 0.5, (digits / shown) ** 0.5,
-        float(bare.endswith(_END)), np.log1p(words), min(len(_SEPARATORS.findall(core)) / max(1.0, words), 2.0),
-        again / n if found else 0.0, min(10.0 * len(_BROKEN.findall(core)) / shown, 2.0), sum(w[:1].isupper() for w in found) / n, min(1.0, common / max(1.0, words)),
-    ]
-
-
-def text_features(parts: list[str]) -> np.ndarray:
-    """The statistics of the segments of one text, one row each.
-
-    The last one is taken over a segment and its neighbours: their common words to their words. It sets a
-    heading within prose apart from an item of a list.
-    """
-    f = np.asarray([_measures(s) for s in parts], float).reshape(-1, N)
-    if len(f) > 1:
-        words = np.maximum(np.expm1(f[:, 5]), 1.0)
-        near = np.ones(2 * REACH + 1)
-        spread = lambda x: np.convolve(x, near, "full")[REACH : REACH + len(x)]
-        f[:, -1] = spread(f[:, 0] * words) / spread(words)
-    f[:, 5] = np.minimum(f[:, 5], 4.0)
-    return f
+    """The statistics of one segment, in the order of FEATURES."""
+    f = text_statistics([segment], tables())[2]
+    return f[0].tolist() if len(f) else [0.0] * N
+
+
+def cells(f: np.ndarray) -> np.ndarray:
+    """The number of the grid's cell that each row of statistics falls into."""
+    code = np.zeros(len(f), np.int64)
+    for i, name in enumerate(FEATURES):
+        code = code * LEVELS[name] + np.clip(np.floor(f[:, i] / STEPS[name] + 1e-6), 0, LEVELS[name] - 1).astype(np.int64)
+    return code
 
 
 def start_bin(f: np.ndarray) -> np.ndarray:
@@ -127,36 +81,48 @@ class Mixture:
     weight: np.ndarray
     mean: np.ndarray
     cov: np.ndarray
+    floor: float = 0.0
+    rounds: int = 0
 
-    def joint(self, f: np.ndarray) -> np.ndarray:
-        """Log of weight times density of each component, for rows of raw statistics."""
+    def joint(self, f: np.ndarray, v: np.ndarray | None = None) -> np.ndarray:
+        """Log of weight times density of each component, for rows of raw statistics.
+
+        A row stands for values spread around it, with variances ``v`` and the floor; what counts is the
+        mean of the log density over them. This makes the steps climb, floor included.
+        """
         s = (f - self.center) / self.scale
         inverse = np.linalg.inv(self.cov)
         half = np.einsum("kij,kj->ki", inverse, self.mean)
-        constant = np.log(self.weight) - 0.5 * np.linalg.slogdet(self.cov)[1] - 0.5 * np.einsum("ki,ki->k", half, self.mean)
-        return constant + s @ half.T - 0.5 * (_products(s) @ inverse.reshape(len(self.weight), -1).T)
+        diagonal = np.einsum("kii->ki", inverse)
+        constant = np.log(self.weight) - 0.5 * self.floor * diagonal.sum(1) - 0.5 * np.linalg.slogdet(self.cov)[1] - 0.5 * np.einsum("ki,ki->k", half, self.mean)
+        got = constant + s @ half.T - 0.5 * (_products(s) @ inverse.reshape(len(self.weight), -1).T)
+        return got if v is None else got - 0.5 * (v / self.scale**2) @ diagonal.T
 
-    def posterior(self, f: np.ndarray) -> tuple[np.ndarray, float]:
+    def posterior(self, f: np.ndarray, v: np.ndarray | None = None, n: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+        """The memberships of rows, and their log likelihood, rows weighed by ``n``."""
         if not len(f):
             return np.zeros((0, len(self.weight))), 0.0
-        j = self.joint(f)
+        j = self.joint(f, v)
         top = j.max(1, keepdims=True)
         e = np.exp(j - top)
         total = e.sum(1, keepdims=True)
-        return e / total, float((top + np.log(total)).sum())
+        each = (top + np.log(total))[:, 0]
+        return e / total, float(each.sum() if n is None else each @ n)
 
 
-def sufficient(s: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Per component: mass, sums and sums of products of standardised statistics, in one flat array."""
-    return np.concatenate([r.sum(0)[:, None], r.T @ s, r.T @ _products(s)], axis=1).ravel()
+def sufficient(s: np.ndarray, r: np.ndarray, within: np.ndarray | None = None) -> np.ndarray:
+    """Per component: mass, sums, sums of products of standardised statistics and of variances within the rows."""
+    inner = np.zeros((r.shape[1], N)) if within is None else r.T @ within
+    return np.concatenate([r.sum(0)[:, None], r.T @ s, r.T @ _products(s), inner], axis=1).ravel()
 
 
 def maximise(flat: np.ndarray, k: int, center: np.ndarray, scale: np.ndarray, floor: float) -> Mixture:
-    m = flat.reshape(k, 1 + N + N * N)
+    m = flat.reshape(k, 1 + 2 * N + N * N)
     n = m[:, 0] + 1e-9
     mean = m[:, 1 : 1 + N] / n[:, None]
-    cov = m[:, 1 + N :].reshape(k, N, N) / n[:, None, None] - np.einsum("ki,kj->kij", mean, mean)
-    return Mixture(center, scale, n / n.sum(), mean, cov + floor * np.eye(N))
+    cov = m[:, 1 + N : 1 + N + N * N].reshape(k, N, N) / n[:, None, None] - np.einsum("ki,kj->kij", mean, mean)
+    cov[:, np.arange(N), np.arange(N)] += m[:, 1 + N + N * N :] / n[:, None] + floor
+    return Mixture(center, scale, n / n.sum(), mean, cov)
 
 
 def _matrix(b: pa.RecordBatch) -> np.ndarray:
@@ -190,97 +156,133 @@ def _total(df: DataFrame, step, size: int) -> np.ndarray:
 
 
 def segment_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, chars, statistics...): one row per segment of the texts that are not null or blank."""
+    """(doc_id, chars, cell, statistics...): one row per segment of the texts that are not null or blank."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                rows, owner, chars = [], [], []
-                for i, t in enumerate(part.column(1).to_pylist()):
-                    cut = segments(t)
-                    if cut:
-                        rows.append(text_features(cut))
-                        owner += [i] * len(cut)
-                        chars += [len(s.strip()) for s in cut]
-                if rows:
-                    m = np.concatenate(rows).astype(np.float32)
+                owner, chars, f = text_statistics(part.column(1).to_pylist(), tables())
+                if len(f):
+                    m = f.astype(np.float32)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(owner)), pa.array(chars, pa.int64()), *(pa.array(m[:, i]) for i in range(N))], ["doc_id", "chars", *FEATURES]
+                        [part.column(0).take(pa.array(owner)), pa.array(chars), pa.array(cells(f)), *(pa.array(m[:, i]) for i in range(N))], ["doc_id", "chars", "cell", *FEATURES]
                     )
 
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).filter("doc_id is not null and text is not null")
-    return spread(rows).mapInArrow(run, f"doc_id {kind}, chars long, " + ", ".join(f"{f} float" for f in FEATURES))
+    return spread(rows).mapInArrow(run, f"doc_id {kind}, chars long, cell long, " + ", ".join(f"{f} float" for f in FEATURES))
+
+
+def grid(stats: DataFrame) -> DataFrame:
+    """(n, mean and variance of each statistic) of the segments of each cell that holds any."""
+    exact = [F.col(f).cast("double") for f in FEATURES]
+    per = stats.groupBy("cell").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), *(F.sum(c).alias(f"s_{f}") for f, c in zip(FEATURES, exact, strict=True)),
+        *(F.sum(c * c).alias(f"q_{f}") for f, c in zip(FEATURES, exact, strict=True)),
+    )
+    mean = [(F.col(f"s_{f}") / F.col("n")) for f in FEATURES]
+    return per.select("cell", "n", *(m.alias(f) for f, m in zip(FEATURES, mean, strict=True)), *(
+        F.greatest(F.lit(0.0), F.col(f"q_{f}") / F.col("n") - m * m).alias(f"v_{f}") for f, m in zip(FEATURES, mean, strict=True)
+    ))
+
+
+def _cells(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = b.column(b.schema.get_field_index("n")).to_numpy(zero_copy_only=False)
+    v = np.stack([b.column(b.schema.get_field_index(f"v_{f}")).to_numpy(zero_copy_only=False) for f in FEATURES], axis=1) if b.num_rows else np.zeros((0, N))
+    return n, _matrix(b), v
 
 
-def fit_mixture(stats: DataFrame, components: int = 32, iterations: int = 50, tolerance: float = 1e-4, floor: float = 0.05) -> Mixture | None:
-    """The mixture of all rows by EM, from the largest coarse bins. None for an empty table."""
-    size = 1 + 2 * N
-    m = _total(stats, lambda b: np.concatenate([[b.num_rows], _matrix(b).sum(0), (_matrix(b) ** 2).sum(0)]), size)
+def em(total: Callable, components: int, tolerance: float, floor: float) -> Mixture | None:
+    """Expectation-maximisation until a step adds less than ``tolerance`` to the mean log likelihood.
+
+    ``total(step, size)`` sums what ``step`` makes of (weights, means, variances) of some cells over all of
+    them. No step lowers that likelihood, and it is bounded, so the steps come to an end.
+    """
+    m = total(lambda n, f, v: np.concatenate([[n.sum()], n @ f, n @ (f**2 + v)]), 1 + 2 * N)
     n = m[0]
     if not n:
         return None
     center = m[1 : 1 + N] / n
     scale = np.sqrt(np.maximum(m[1 + N :] / n - center**2, 1e-6))
     bins = 3 * 2 * 2**5
-    counts = _total(stats, lambda b: np.bincount(start_bin(_matrix(b)), minlength=bins).astype(float), bins)
+    counts = total(lambda n, f, v: np.bincount(start_bin(f), weights=n, minlength=bins), bins)
     order = np.argsort(-counts, kind="stable")
     first = order[: min(components, int((counts > 0).sum()))]
     k = len(first)
     place = np.full(bins, -1)
     place[first] = np.arange(k)
-    width = k * (1 + N + N * N)
+    width = k * (1 + 2 * N + N * N)
 
-    def begin(b: pa.RecordBatch) -> np.ndarray:
-        f = _matrix(b)
+    def begin(n: np.ndarray, f: np.ndarray, v: np.ndarray) -> np.ndarray:
         at = place[start_bin(f)]
         r = np.where(at[:, None] == np.arange(k), 1.0, np.where(at[:, None] < 0, 1.0 / k, 0.0))
-        return sufficient((f - center) / scale, r)
+        return sufficient((f - center) / scale, r * n[:, None], v / scale**2)
 
-    mix, before = maximise(_total(stats, begin, width), k, center, scale, floor), -np.inf
-    for _ in range(iterations):
+    mix, before, rounds = replace(maximise(total(begin, width), k, center, scale, floor), floor=floor), -np.inf, 0
+    while True:
 
-        def step(b: pa.RecordBatch, mix: Mixture = mix) -> np.ndarray:
-            f = _matrix(b)
-            r, ll = mix.posterior(f)
-            return np.append(sufficient((f - center) / scale, r), ll)
+        def step(n: np.ndarray, f: np.ndarray, v: np.ndarray, mix: Mixture = mix) -> np.ndarray:
+            r, ll = mix.posterior(f, v, n)
+            return np.append(sufficient((f - center) / scale, r * n[:, None], v / scale**2), ll)
 
-        got = _total(stats, step, width + 1)
-        mix = maximise(got[:-1], k, center, scale, floor)
-        if abs(got[-1] / n - before) < tolerance:
-            break
+        got = total(step, width + 1)
+        mix, rounds = replace(maximise(got[:-1], k, center, scale, floor), floor=floor), rounds + 1
+        if got[-1] / n - before < tolerance:
+            return replace(mix, rounds=rounds)
         before = got[-1] / n
-    return mix
 
 
-def in_cells(posterior: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """The memberships of each row, set apart by how many common words stand around it: few, some, many."""
-    k = posterior.shape[1]
-    out = np.zeros((len(f), len(_HINTS) * k))
-    cell = np.digitize(f[:, -1], _AROUND)
-    for c in range(len(_HINTS)):
-        out[cell == c, c * k : (c + 1) * k] = posterior[cell == c]
-    return out
+def _pack(mix: Mixture) -> np.ndarray:
+    return np.concatenate([[len(mix.weight), mix.rounds, mix.floor], mix.center, mix.scale, mix.weight, mix.mean.ravel(), mix.cov.ravel()])
+
+
+def _unpack(x: np.ndarray) -> Mixture:
+    k, rounds = int(x[0]), int(x[1])
+    center, scale, weight, mean, cov = np.split(x[3:], np.cumsum([N, N, k, k * N]))
+    return Mixture(center, scale, weight, mean.reshape(k, N), cov.reshape(k, N, N), x[2], rounds)
+
+
+def fit_mixture(stats: DataFrame, components: int = 64, tolerance: float = 1e-5, floor: float = 0.05, one_task: int = ONE_TASK) -> Mixture | None:
+    """The mixture of all segments, each counted in its cell, from the largest coarse bins. None for an empty table.
+
+    Up to ``one_task`` cells are fitted in one task, more by one job a step; the steps are the same.
+    """
+    kept = write_stage(grid(stats), "grid")
+    if kept.count() > one_task:
+        return em(lambda step, size: _total(kept, lambda b: step(*_cells(b)), size), components, tolerance, floor)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [_cells(b) for b in batches if b.num_rows]
+        n, f, v = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0), np.zeros((0, N)), np.zeros((0, N)))
+
+        def total(step: Callable, size: int) -> np.ndarray:
+            return sum((step(n[at : at + 4096], f[at : at + 4096], v[at : at + 4096]) for at in range(0, len(n), 4096)), np.zeros(size))
+
+        mix = em(total, components, tolerance, floor)
+        yield pa.RecordBatch.from_arrays([pa.array([_pack(mix)] if mix else [], pa.list_(pa.float64()))], ["x"])
+
+    found = kept.coalesce(1).sortWithinPartitions("cell").mapInArrow(fit, "x array<double>").collect()
+    return _unpack(np.asarray(found[0].x)) if found else None
 
 
-def name_cells(mix: Mixture, prose: np.ndarray, other: np.ndarray) -> list[str]:
-    """The class of each component in each cell, from its characters in judged prose and in what is judged not to be.
+def name_components(mix: Mixture, prose: np.ndarray, other: np.ndarray) -> list[str]:
+    """The class of each component, from its characters in judged prose and in what is judged not to be.
 
-    It is prose if it holds more of the judged prose than of the rest. Where the judged documents hardly
-    touch it, the common words around weigh in. What is not prose is named by the nearest inspected example.
+    It is prose if it holds more of the judged prose than of the rest. Where the judged documents hardly touch
+    it, its common words weigh in. What is not prose is named by the nearest inspected example.
     """
     k = len(mix.weight)
-    hint = np.repeat(_HINTS, k)
+    hint = np.clip((mix.mean * mix.scale + mix.center)[:, -1] / _COMMON_SHARE, 0.05, 0.95)
     a = prose / max(prose.sum(), 1e-9) + _PRIOR * hint
     b = other / max(other.sum(), 1e-9) + _PRIOR * (1 - hint)
     kinds = [c for c in CLASSES if c != "prose"]
     f = {c: (np.asarray([features(s) for s in EXAMPLES[c]]) - mix.center) / mix.scale for c in kinds}
     nearest = [min(kinds, key=lambda c: np.min(((f[c] - mix.mean[j]) ** 2).sum(1))) for j in range(k)]
-    return ["prose" if a[i] > b[i] else nearest[i % k] for i in range(len(a))]
+    return ["prose" if a[i] > b[i] else nearest[i] for i in range(k)]
 
 
-def class_shares(docs: DataFrame, labels: DataFrame, components: int = 32, most_labels: int = 50_000) -> DataFrame:
+def class_shares(docs: DataFrame, labels: DataFrame, components: int = 64, most_labels: int = 50_000) -> DataFrame:
     """(doc_id, chars, prose, list, table, junk): the shares of a document's characters in each class.
 
     Documents that are null or blank, or have a null id, do not come out. ``labels`` (doc_id, quality: 1
@@ -299,19 +301,19 @@ def class_shares(docs: DataFrame, labels: DataFrame, components: int = 32, most_
 
     def by_label(b: pa.RecordBatch) -> np.ndarray:
         f = _matrix(b)
-        r = in_cells(mix.posterior(f)[0], f) * b.column(b.schema.get_field_index("chars")).to_numpy()[:, None]
+        r = mix.posterior(f)[0] * b.column(b.schema.get_field_index("chars")).to_numpy()[:, None]
         q = b.column(b.schema.get_field_index("quality")).to_numpy(zero_copy_only=False)
         return np.concatenate([r[q == 1].sum(0), r[q != 1].sum(0)])
 
-    mass = _total(stats.join(F.broadcast(judged), "doc_id"), by_label, 2 * k * len(_HINTS))
-    names = name_cells(mix, *np.split(mass, 2))
+    mass = _total(stats.join(F.broadcast(judged), "doc_id"), by_label, 2 * k)
+    names = name_components(mix, *np.split(mass, 2))
     member = np.asarray([[n == c for c in CLASSES] for n in names], float)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             chars = b.column(1).to_numpy()
             f = _matrix(b)
-            w = (in_cells(mix.posterior(f)[0], f) @ member) * chars[:, None]
+            w = np.concatenate([mix.posterior(f[at : at + 4096])[0] @ member for at in range(0, len(f), 4096)] or [np.zeros((0, 4))]) * chars[:, None]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(w[:, i]) for i in range(4))], ["doc_id", "chars", *CLASSES])
 
     each = stats.mapInArrow(weigh, f"doc_id {kind}, chars long, " + ", ".join(f"{c} double" for c in CLASSES))
