@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import distinctive, encode, frequency, leakage, lookalike, markup, quality, topn
+from postloom.llm import distinctive, encode, frequency, leakage, lookalike, markup, quality, topn, wrapper
 from postloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,7 +42,7 @@ def p2_frequencies(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p3_method(spark: SparkSession, d: str) -> DataFrame:
     """Pages of one name space stand for the pages of one host: the table states no address."""
-    return markup.induce_wrappers(table(spark, d, "stream_articles"), "page_id", "ns", "text")
+    return wrapper.induce_wrappers(table(spark, d, "stream_articles"), "page_id", "ns", "text")
 
 
 @query
