@@ -56,7 +56,7 @@ class Engine:
         self.spark, self.conf = spark, conf
         self.index = Index(index.docs.cache(), index.postings.cache(), index.df, index.stats.cache())
         self.cache = LRU(conf.cache_size)
-        self._docs = None
+        self._sharded: Index | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, conf: EngineConf) -> Engine:
@@ -106,23 +106,28 @@ class Engine:
 
     def sharded(self) -> DataFrame:
         """The documents with their shard."""
-        if self._docs is None:
+        return self.sharded_index().docs
+
+    def sharded_index(self) -> Index:
+        """The index with the shard of every document and posting."""
+        if self._sharded is None:
             points = shard.ring(self.spark, self.conf.shards, self.conf.replicas)
-            self._docs = shard.assign(self.index.docs, points, shard.doc_key()).cache()
-        return self._docs
+            docs, post = (shard.assign(x, points, shard.doc_key()) for x in (self.index.docs, self.index.postings))
+            self._sharded = Index(docs, post.cache(), self.index.df, self.index.stats)
+        return self._sharded
 
     def shard_search(self, name: str, q: str, k: int = rank.TOP_K) -> list[dict]:
         """What one shard answers."""
         self._checked(q, k)
         others = [s for s in self.conf.shards if s != name]
-        hits = shard.scatter_gather(self.index, self.sharded(), self._query(q), k, others)
+        hits = shard.scatter_gather(self.sharded_index(), self._query(q), k, others)
         best = rank.with_titles(hits, self.index.docs).orderBy("rank").collect()
         return [{"doc_id": r.doc_id, "score": r.score, "title": r.title} for r in best]
 
     def sharded_search(self, q: str, k: int = rank.TOP_K, down: Sequence[str] = ()) -> dict:
         """The merged answer of the shards that are up."""
         self._checked(q, k)
-        hits = shard.scatter_gather(self.index, self.sharded(), self._query(q), k, down)
+        hits = shard.scatter_gather(self.sharded_index(), self._query(q), k, down)
         best = rank.display_titles(rank.with_titles(hits, self.index.docs)).orderBy("rank").collect()
         failed = sorted(set(self.conf.shards) & set(down))
         return {

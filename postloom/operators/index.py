@@ -82,3 +82,11 @@ class Index:
     @property
     def vocabulary_size(self) -> int:
         return self.df.count()
+
+    def without_orphans(self) -> Index:
+        """The index without the postings of documents that it does not hold, which then score and count no more.
+
+        Built and stored indexes have none; tables that come from elsewhere, or whose documents were removed, may.
+        Document frequencies stay those of all postings.
+        """
+        return Index(self.docs, self.postings.join(self.docs.select("doc_id"), "doc_id", "left_semi"), self.df, self.stats)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from postloom.functions.analyze import with_terms
 from postloom.operators.index import Index
-from postloom.operators.skew import lookup_join
+from postloom.session import write_stage
 
 K1, B, TOP_K = 1.2, 0.75, 10
 
@@ -32,21 +32,40 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return every.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"), F.min("pos").alias("first_pos"))
 
 
-def scores(index: Index, queries: DataFrame, k1: float = K1, b: float = B, counts: DataFrame | None = None) -> DataFrame:
+MOST_TERMS = 50_000  # (query, term) rows that are brought to the driver and sent out with the plan
+
+
+def asked(queries: DataFrame, most: int = MOST_TERMS) -> tuple[DataFrame, list[str] | None]:
+    """The terms of the queries, and the distinct ones as a list if there are at most ``most`` rows of them.
+
+    The queries are analysed once: few rows become part of the plan, more are written.
+    """
+    rows = query_terms(queries)
+    some = rows.limit(most + 1).toPandas()
+    if len(some) > most:
+        return write_stage(rows, "asked"), None
+    local = rows.sparkSession.createDataFrame(some, rows.schema) if len(some) else rows.sparkSession.createDataFrame([], rows.schema)
+    return local, sorted(set(some["term"]))
+
+
+def scores(index: Index, queries: DataFrame, k1: float = K1, b: float = B, counts: DataFrame | None = None, most: int = MOST_TERMS) -> DataFrame:
     """(query_id, doc_id, score, first_pos) of every document that holds a term of the query.
 
-    The terms of the queries are broadcast where Spark measures them to be small, so the postings of other
-    terms are dropped where they are read; only sums per query and document are shuffled. Document
-    frequencies are counted on the postings left, unless ``counts`` (term, df) states them, as for a shard.
+    The terms asked for are literals of the plan, so a stored index reads only the row groups and pages that may
+    hold them, of the postings and of the table of terms; they are weighed by the document frequencies found there (or in ``counts``:
+    term, df, as for a shard) and broadcast. Postings are not shuffled; where they are stored by document, their
+    sums are not either. Beyond ``most`` rows of query terms, terms and postings are joined by shuffle.
     """
-    terms = query_terms(queries)
-    wanted = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df")) if counts is None else counts
+    terms, words = asked(queries, most)
+    post, df = index.postings, index.df if counts is None else counts
+    if words is not None:
+        post, df = post.filter(F.col("term").isin(words)), df.filter(F.col("term").isin(words))
     weighed = terms.join(df, "term").crossJoin(index.stats).filter("avgdl > 0")  # one row of statistics
     weighed = weighed.select("query_id", "term", "first_pos", "avgdl", (F.col("times") * idf(F.col("n"), F.col("df"))).alias("w"))
-    hits = wanted.join(weighed, "term")
+    hits = post.join(weighed if words is None else F.broadcast(weighed), "term")  # at most as many rows as query terms
     part = F.col("w") * saturation(F.col("tf"), F.col("length"), F.col("avgdl"), k1, b)
-    return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"), F.min("first_pos").alias("first_pos"))
+    held = ["shard"] if "shard" in post.columns else []
+    return hits.groupBy("query_id", "doc_id", *held).agg(F.sum(part).alias("score"), F.min("first_pos").alias("first_pos"))
 
 
 def _order() -> list[Column]:
@@ -80,9 +99,15 @@ def idf_table(index: Index) -> DataFrame:
     return index.df.crossJoin(index.stats).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
 
 
-def lookup(index: Index, terms: DataFrame) -> DataFrame:
-    """(term, df, postings) of the given terms: an empty list for a term that is not there; sorted by doc_id."""
-    own = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
-    lists = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("postings"))
-    got = lookup_join(terms.select("term").distinct(), lists, ["term"])
-    return got.select("term", F.coalesce("df", F.lit(0)).alias("df"), F.coalesce("postings", F.array().cast("array<struct<doc_id:bigint,tf:int>>")).alias("postings"))
+def lookup(index: Index, terms: DataFrame, most: int = MOST_TERMS) -> DataFrame:
+    """(term, df, doc_id, tf) of the given terms, one row per posting; a term that is not there has one row of 0 documents."""
+    wanted = terms.select("term").distinct()
+    words = [r.term for r in wanted.limit(most + 1).collect()]
+    post, df = index.postings, index.df
+    if len(words) <= most:
+        post, df = post.filter(F.col("term").isin(words)), df.filter(F.col("term").isin(words))
+        wanted = F.broadcast(wanted)
+    own = post.join(wanted, "term", "left_semi").select("term", "doc_id", "tf")
+    known = wanted.join(df, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
+    # a row for every term, so the few terms are kept and their postings are what is joined
+    return known.join(own, "term", "left").select("term", "df", "doc_id", "tf")

@@ -129,19 +129,23 @@ def divergence(docs: DataFrame, post: DataFrame, terms: DataFrame | None = None)
     return got.select("shard", "term", (F.col("local_df") / F.col("local_n")).alias("local_share"), (F.col("df") / F.col("n")).alias("global_share"))
 
 
-def scatter_gather(index: Index, docs: DataFrame, queries: DataFrame, k: int = rank.TOP_K, down: Sequence[str] = ()) -> DataFrame:
+def scatter_gather(index: Index, queries: DataFrame, k: int = rank.TOP_K, down: Sequence[str] = ()) -> DataFrame:
     """(query_id, rank, doc_id, score, shard): the best k of each shard that answers, merged.
 
-    ``docs``: doc_id and shard. Statistics are global, so scores and order are those of one index over the
-    documents of the answering shards. Each shard keeps its k best before they are merged.
+    ``index.postings`` carry the shard of their document, and those of shards that are down are not read.
+    Statistics are those of all shards, so scores are those of one index. Each shard keeps its k best,
+    in the order of ``rank.top_k``. The lists are merged by their heads, of which the one of the highest score, then of the
+    greatest document id goes first. A document can't overtake the one before it in its list, so among equal scores
+    the merged order is that of the smallest id so far in the list, from the greatest down.
     """
-    up = docs.select("doc_id", "shard")
-    if down:
-        up = up.filter(~F.col("shard").isin(*down))
-    scored = rank.scores(index, queries).join(up, "doc_id")
-    order = [F.round("score", 10).desc(), F.col("first_pos").asc(), F.col("doc_id").asc()]
-    local = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "shard").orderBy(*order))).filter(F.col("r") <= k).drop("r")
-    merged = local.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)
+    post = index.postings.filter(~F.col("shard").isin(*down)) if down else index.postings
+    scored = rank.scores(Index(index.docs, post, index.df, index.stats), queries)
+    own = Window.partitionBy("query_id", "shard").orderBy(F.round("score", 10).desc(), F.col("first_pos").asc(), F.col("doc_id").asc())
+    local = scored.withColumn("r", F.row_number().over(own)).filter(F.col("r") <= k)
+    ties = Window.partitionBy("query_id", "shard", F.round("score", 10)).orderBy("r")
+    heads = local.withColumn("head", F.min("doc_id").over(ties))  # at most k rows per query and shard
+    order = [F.round("score", 10).desc(), F.col("head").desc(), F.col("r").asc()]
+    merged = heads.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)
     return merged.select("query_id", "rank", "doc_id", "score", "shard")
 
 

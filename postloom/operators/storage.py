@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postloom.functions.codec import decode_postings, encode_postings, varint_length
-from postloom.operators.index import Index, document_frequency
+from postloom.operators.index import Index
 from postloom.operators.skew import CHUNK_ROWS, number_rows
-from postloom.session import default_partitions
+from postloom.session import remove, sized_partitions, write_stage
 
 BLOCK_BITS = 20  # a list is stored in blocks of ids, so no list outgrows a task
-PARTS = ("postings", "docs", "stats")
+PARTS = ("postings", "docs", "terms", "stats")
 
 
 def _shift(post: DataFrame) -> DataFrame:
@@ -69,39 +70,63 @@ def list_sizes(post: DataFrame) -> DataFrame:
     )
 
 
-def prefix_sums(df: DataFrame, order: str, value: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(order, value, before): for each row the sum of ``value`` over all smaller ones, without a global window.
+def prefix_sums(df: DataFrame, order: str, value: str, chunk_rows: int = CHUNK_ROWS, payload: Sequence[str] = ()) -> DataFrame:
+    """(order, value, payload..., before): for each row the sum of ``value`` over all smaller ones, without a global window.
 
     Rows are numbered in order and cut into equal chunks; only one total per chunk passes through one task.
     """
-    rows = number_rows(df, [order], [value]).withColumn("_chunk", F.floor(F.col("row_no") / chunk_rows))
+    rows = number_rows(df, [order], [value], payload).withColumn("_chunk", F.floor(F.col("row_no") / chunk_rows))
     totals = rows.groupBy("_chunk").agg(F.sum(value).alias("_t"))
     earlier = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("_chunk", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("_chunk").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(starts, "_chunk").select(order, value, (F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).alias("before"))
+    return rows.join(starts, "_chunk").select(order, value, *payload, (F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).alias("before"))
 
 
 def term_directory(post: DataFrame) -> DataFrame:
     """(term, byte_offset, nbytes, df) of the lists written one after another in order of terms."""
-    sizes = list_sizes(post)
-    placed = prefix_sums(sizes, "term", "nbytes").withColumnRenamed("before", "byte_offset")
-    return placed.join(sizes.select("term", "df"), "term").select("term", "byte_offset", "nbytes", "df")
+    sizes = write_stage(list_sizes(post), "sizes")
+    placed = prefix_sums(sizes, "term", "nbytes", payload=["df"]).withColumnRenamed("before", "byte_offset")
+    return placed.select("term", "byte_offset", "nbytes", "df")
 
 
 def write_index(index: Index, path: str, partitions: int | None = None) -> None:
-    """Sorted by term, so that readers skip row groups; the statistics are stored beside."""
-    n = partitions or default_partitions(index.postings.sparkSession)
-    # ids within a term keep a frequent term from filling one file
-    ranged = index.postings.repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id")
-    ranged.write.mode("overwrite").parquet(f"{path}/postings")
+    """Write the tables of an index, each by itself readable as Parquet.
+
+    ``postings`` are put into buckets by document and sorted by term within each: a reader skips what can't hold its
+    terms, and adds up scores where the postings are. ``terms`` holds (term, df, byte_offset, nbytes) in order of terms.
+    """
+    spark = index.postings.sparkSession
+    n = partitions or sized_partitions(index.postings)
+    post = index.postings.select("term", "doc_id", "tf", "length")
+    # one task per bucket, so one file per bucket
+    name = f"postloom_{uuid.uuid4().hex}"
+    remove(spark, f"{path}/postings")
+    filed = post.repartition(n, "doc_id").sortWithinPartitions("term", "doc_id")
+    filed.write.mode("overwrite").option("path", f"{path}/postings").bucketBy(n, "doc_id").sortBy("term").format("parquet").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    spark.createDataFrame([(n,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
+    kept = spark.read.parquet(f"{path}/postings")
+    term_directory(kept).repartitionByRange(sized_partitions(kept.select("term")), "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
     index.stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
-    post = spark.read.parquet(f"{path}/postings")
-    return Index(spark.read.parquet(f"{path}/docs"), post, document_frequency(post), spark.read.parquet(f"{path}/stats"))
+    """A written index. Its postings are a table that knows its buckets, so sums per document need no exchange."""
+    n = spark.read.parquet(f"{path}/layout").first()[0]
+    plain = spark.read.parquet(f"{path}/postings")
+    name = f"postloom_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
+    where = path.replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (doc_id) SORTED BY (term) INTO {n} BUCKETS LOCATION '{where}/postings'")
+    terms = spark.read.parquet(f"{path}/terms")
+    return Index(spark.read.parquet(f"{path}/docs"), spark.table(name), terms.select("term", "df"), spark.read.parquet(f"{path}/stats"))
+
+
+def read_directory(spark: SparkSession, path: str) -> DataFrame:
+    """(term, df, byte_offset, nbytes) of a written index."""
+    return spark.read.parquet(f"{path}/terms").select("term", "df", "byte_offset", "nbytes")
 
 
 def is_stored(spark: SparkSession, path: str) -> bool:

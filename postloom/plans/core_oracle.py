@@ -81,6 +81,9 @@ SELECT p.term, count(doc_id) AS df, coalesce(list(doc_id ORDER BY doc_id) FILTER
        CAST(coalesce(sum(tf), 0) AS BIGINT) AS tf_sum
 FROM (SELECT unnest({list(PROBES)}) AS term) p LEFT JOIN post ON p.term = post.term GROUP BY p.term"""
 
+SQL["postings_rows"] = _TOKENS + f"""
+SELECT p.term, coalesce(df.df, 0) AS df, doc_id, tf FROM (SELECT unnest({list(PROBES)}) AS term) p LEFT JOIN post ON p.term = post.term LEFT JOIN df ON df.term = p.term"""
+
 # ---- ranking -----------------------------------------------------------------------------------------
 
 _IDF = "ln(1.0 + (n - df + 0.5) / (df + 0.5))"
@@ -101,6 +104,8 @@ _BATCH = _TOKENS + ", " + terms("(SELECT item_id AS query_id, text AS query FROM
 SQL["idf_table"] = _TOKENS + f"SELECT term, df, round({_IDF}, 9) AS idf FROM df, st"
 SQL["bm25_topk"] = _ONE + "," + _scores() + f" SELECT {_RANK} AS rank, doc_id, round(score, 6) AS score FROM sc QUALIFY rank <= 10"
 SQL["bm25_batch_topk"] = _BATCH + "," + _scores() + f" SELECT query_id, {_RANK} AS rank, doc_id, round(score, 6) AS score FROM sc QUALIFY rank <= 10"
+SQL["bm25_orphans"] = _ONE + "," + _scores() + f""" SELECT {_RANK} AS rank, sc.doc_id, round(score, 6) AS score, count(*) OVER () AS total_hits
+FROM sc JOIN documents d ON d.doc_id = sc.doc_id WHERE lang IS NOT NULL QUALIFY rank <= 10""".replace("first_pos, doc_id", "first_pos, sc.doc_id")
 SQL["total_hits"] = _BATCH + "," + _scores() + " SELECT query_id, count(*) AS total_hits FROM sc GROUP BY query_id"
 SQL["search_response"] = _ONE + "," + _scores() + f""" SELECT r.rank, r.doc_id, split_part(coalesce(text, ''), chr(10), 1) AS title,
        coalesce(source, '') || '/' || r.doc_id AS url, round(score, 4) AS score
@@ -249,11 +254,21 @@ SQL["idf_divergence_all"] = _SHARDED + """SELECT sp.shard, sp.term, round(count(
 FROM sp JOIN df ON df.term = sp.term JOIN (SELECT shard, count(*) AS c FROM own GROUP BY shard) s ON s.shard = sp.shard, st
 GROUP BY sp.shard, sp.term"""
 _GATHER = _ONE + "," + _scores() + f", own AS {_assign(SHARDS)}, sh AS (SELECT sc.*, shard FROM sc JOIN own ON own.doc_id = sc.doc_id)"
-SQL["sharded_topk"] = _GATHER + f" SELECT {_RANK} AS rank, doc_id, round(score, 6) AS score, shard FROM sh QUALIFY rank <= 10"
+# each shard's list; the lists are merged by their heads, the greater id first among equal scores
+
+
+def _merged(k: int, where: str = "TRUE") -> str:
+    return f""", loc AS (SELECT *, row_number() OVER (PARTITION BY query_id, shard ORDER BY round(score, 10) DESC, first_pos, doc_id) AS r FROM sh WHERE {where} QUALIFY r <= {k}),
+head AS (SELECT *, min(doc_id) OVER (PARTITION BY query_id, shard, round(score, 10) ORDER BY r) AS head FROM loc),
+mer AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, head DESC, r) AS rank FROM head QUALIFY rank <= {k})"""
+
+
+SQL["sharded_topk"] = _GATHER + _merged(10) + " SELECT rank, doc_id, round(score, 6) AS score, shard FROM mer"
+SQL["sharded_batch_topk"] = _GATHER.replace(_ONE, _BATCH) + _merged(5) + " SELECT query_id, rank, doc_id, round(score, 6) AS score, shard FROM mer"
 SQL["shard_store"] = _GATHER + """ SELECT shard, row_number() OVER (PARTITION BY shard ORDER BY round(score, 10) DESC, first_pos, doc_id) AS rank,
   doc_id, round(score, 6) AS score FROM sh QUALIFY rank <= 5"""
-SQL["degraded_search"] = _GATHER + f""" SELECT CAST(0 AS BIGINT) AS query_id, count(*) AS n_results, string_agg(doc_id, ',' ORDER BY rank) AS doc_ids,
-  'shard-1' AS shards_failed, true AS degraded FROM (SELECT {_RANK} AS rank, doc_id FROM sh WHERE shard <> 'shard-1' QUALIFY rank <= 10)"""
+SQL["degraded_search"] = _GATHER + _merged(10, "shard <> 'shard-1'") + """ SELECT CAST(0 AS BIGINT) AS query_id, count(*) AS n_results,
+  string_agg(doc_id, ',' ORDER BY rank) AS doc_ids, 'shard-1' AS shards_failed, true AS degraded FROM mer"""
 SQL["scatter_timeouts"] = f"""SELECT request, count(*) FILTER (seconds <= 3.2) AS answered,
   coalesce(string_agg(shard, ',' ORDER BY shard) FILTER (seconds IS NULL OR seconds > 3.2), '') AS shards_failed
 FROM ({_values(CALLS)}) c(request, shard, seconds) GROUP BY request"""

@@ -149,8 +149,15 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def postings_lookup(spark: SparkSession, d: str) -> DataFrame:
-    got = rank.lookup(_index(spark, d), _probes(spark))
-    return got.select("term", "df", F.transform("postings", lambda p: p["doc_id"]).alias("doc_ids"), F.aggregate("postings", F.lit(0).cast("long"), lambda a, p: a + p["tf"]).alias("tf_sum"))
+    """The postings of a few terms, in one row each to be shown."""
+    got = rank.lookup(_index(spark, d), _probes(spark)).groupBy("term").agg(F.max("df").alias("df"), F.sort_array(F.collect_list("doc_id")).alias("doc_ids"), F.sum("tf").alias("tf_sum"))
+    return got.withColumn("tf_sum", F.coalesce("tf_sum", F.lit(0)).cast("long"))
+
+
+@query
+def postings_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The same as they are read: one row per posting."""
+    return rank.lookup(_stored(spark, d)[1], _probes(spark)).select("term", "df", "doc_id", F.col("tf").cast("long").alias("tf"))
 
 
 # ---- ranking -----------------------------------------------------------------------------------------
@@ -188,6 +195,15 @@ def total_hits(spark: SparkSession, d: str) -> DataFrame:
     return rank.total_hits(rank.scores(_index(spark, d), _batch(spark, d)))
 
 
+@query
+def bm25_orphans(spark: SparkSession, d: str) -> DataFrame:
+    """Postings of documents that are gone, those whose language is missing, neither score nor count."""
+    i = _index(spark, d)
+    held = i.docs.join(table(spark, d, "documents").filter("lang is not null").select("doc_id"), "doc_id", "left_semi")
+    scored = rank.scores(index.Index(held, i.postings, i.df, i.stats).without_orphans(), _one_query(spark))
+    return rank.top_k(scored).join(rank.total_hits(scored), "query_id").select(F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"), "total_hits")
+
+
 @query
 def search_response(spark: SparkSession, d: str) -> DataFrame:
     i = _index(spark, d)
@@ -408,6 +424,17 @@ def _shards(spark: SparkSession, d: str) -> tuple[index.Index, DataFrame, DataFr
     return i, shard.assign(i.docs, points, shard.doc_key()), shard.assign(i.postings, points, shard.doc_key())
 
 
+def _sharded_index(spark: SparkSession, d: str) -> index.Index:
+    i, docs, post = _shards(spark, d)
+    return index.Index(docs, post, i.df, i.stats)
+
+
+@query
+def sharded_batch_topk(spark: SparkSession, d: str) -> DataFrame:
+    best = shard.scatter_gather(_sharded_index(spark, d), _batch(spark, d), 5)
+    return best.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"), "shard")
+
+
 @query
 def shard_summary(spark: SparkSession, d: str) -> DataFrame:
     return shard.summary(*_shards(spark, d)[1:])
@@ -454,14 +481,12 @@ def idf_divergence_all(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def sharded_topk(spark: SparkSession, d: str) -> DataFrame:
-    i, docs, _ = _shards(spark, d)
-    return shard.scatter_gather(i, docs, _one_query(spark)).select(F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"), "shard")
+    return shard.scatter_gather(_sharded_index(spark, d), _one_query(spark)).select(F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"), "shard")
 
 
 @query
 def degraded_search(spark: SparkSession, d: str) -> DataFrame:
-    i, docs, _ = _shards(spark, d)
-    hits = shard.scatter_gather(i, docs, _one_query(spark), down=["shard-1"])
+    hits = shard.scatter_gather(_sharded_index(spark, d), _one_query(spark), down=["shard-1"])
     best = F.transform("results", lambda r: r["doc_id"].cast("string"))
     return shard.answer(hits, _one_query(spark), SHARDS, ["shard-1"]).select(
         "query_id", F.col("n_results").cast("long").alias("n_results"), F.array_join(best, ",").alias("doc_ids"), "shards_failed", "degraded"

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import heapq
 import math
+import random
 from collections import Counter, OrderedDict
 
 import pytest
@@ -8,7 +10,7 @@ import pytest
 from postloom.api import LRU, Engine
 from postloom.conf import EngineConf
 from postloom.functions.analyze import analyze_text
-from postloom.operators import crawl, metrics, shard, state, storage
+from postloom.operators import crawl, metrics, rank, shard, state, storage
 from postloom.operators.index import DuplicateDocuments, Index
 from postloom.sources import pages, wiki
 
@@ -250,3 +252,61 @@ def test_percentiles_and_conf(spark):
     assert (r.n, r["median"], r.p95, r.p99, r["max"]) == (100, 49.5, 95.0, 99.0, 99.0)
     c = EngineConf.from_env({"SEARCH_CACHE_SIZE": "7", "SHARD_URLS": " a , b,", "BREAKER_COOLDOWN_SECONDS": "2.5"})
     assert (c.cache_size, c.shards, c.breaker_cooldown) == (7, ("a", "b"), 2.5) and EngineConf().budget == pytest.approx(3.2)
+
+
+def _stored(spark, tmp_path, n=400):
+    r = random.Random(4)
+    words = [f"w{i}x" for i in range(300)]
+    corpus = spark.createDataFrame([(i, "u", f"t{i}", " ".join(r.choices(words, k=40))) for i in range(n)], "doc_id long, url string, title string, text string")
+    path = f"file://{tmp_path}/stored"
+    storage.write_index(Index.build(corpus), path)
+    return corpus, path, storage.open_index(spark, path)
+
+
+def test_a_query_reads_its_terms_and_shuffles_no_posting(spark, tmp_path):
+    corpus, path, kept = _stored(spark, tmp_path)
+    query = spark.createDataFrame([(1, "w1x w2x w2x absent")], "query_id int, query string")
+    scored = rank.scores(kept, query)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "In(term, [absent,w1x,w2x])" in plan
+    whole = {r.doc_id: r.score for r in rank.scores(Index.build(corpus), query).collect()}
+    got = {r.doc_id: r.score for r in scored.collect()}
+    assert got.keys() == whole.keys() and all(got[k] == pytest.approx(whole[k]) for k in got)
+    final = scored._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # neither the postings nor their sums are exchanged: the buckets hold whole documents
+    assert "Exchange hashpartitioning" not in final and "Bucketed: true" in final
+    many = {r.doc_id: r.score for r in rank.scores(kept, query, most=1).collect()}  # beyond the bound: by shuffle
+    assert many.keys() == whole.keys() and all(many[k] == pytest.approx(whole[k]) for k in many)
+    assert rank.scores(kept, query.limit(0)).count() == 0
+
+
+def test_the_term_table_is_stored(spark, tmp_path):
+    corpus, path, kept = _stored(spark, tmp_path, 60)
+    stored = {r.term: tuple(r)[1:] for r in storage.read_directory(spark, path).collect()}
+    want = {r.term: (r.df, r.byte_offset, r.nbytes) for r in storage.term_directory(kept.postings).collect()}
+    assert stored == want and {t: x[0] for t, x in stored.items()} == {r.term: r.df for r in Index.build(corpus).df.collect()}
+    ends = sorted((o, n) for _, o, n in stored.values())
+    assert ends[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(ends, ends[1:]))
+    rows = rank.lookup(kept, spark.createDataFrame([("w1x",), ("nowhere",)], "term string")).collect()
+    assert {(r.term, r.df) for r in rows} == {("w1x", stored["w1x"][0]), ("nowhere", 0)} and sum(r.doc_id is not None for r in rows) == stored["w1x"][0]
+
+
+def test_postings_without_document_do_not_score(spark, tmp_path):
+    _, _, kept = _stored(spark, tmp_path, 60)
+    query = spark.createDataFrame([(1, "w1x w2x w3x")], "query_id int, query string")
+    gone = Index(kept.docs.filter("doc_id >= 30"), kept.postings, kept.df, kept.stats).without_orphans()
+    whole, left = ({r.doc_id: r.score for r in rank.scores(i, query).collect()} for i in (kept, gone))
+    assert left == {d: pytest.approx(s) for d, s in whole.items() if d >= 30} and len(left) < len(whole)
+
+
+def test_merging_lists_equals_a_heap(spark):
+    """Among equal scores the heads of the shards' lists decide, the greater id first."""
+    r = random.Random(8)
+    lists = {s: sorted(((r.choice([1.0, 2.0, 3.0]), d) for d in range(j, 60, 3)), key=lambda x: -x[0]) for j, s in enumerate("abc")}
+    tf = {d: int(sc) for rows in lists.values() for sc, d in rows}
+    post = spark.createDataFrame([("w", d, tf[d], 5, s) for s, rows in lists.items() for _, d in rows], "term string, doc_id long, tf int, length int, shard string")
+    docs = post.select("doc_id", "length")
+    stats = spark.createDataFrame([(60, 300, 5.0)], "n long, total_length long, avgdl double")
+    got = shard.scatter_gather(Index(docs, post, spark.createDataFrame([("w", 60)], "term string, df long"), stats), spark.createDataFrame([(1, "w")], "query_id int, query string"), 8)
+    want = list(heapq.merge(*([(sc, d, s) for sc, d in rows[:8]] for s, rows in lists.items()), reverse=True))[:8]
+    assert [(x.doc_id, x.shard) for x in got.orderBy("rank").collect()] == [(d, s) for _, d, s in want]
