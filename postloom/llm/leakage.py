@@ -1,14 +1,15 @@
 """Evaluation texts inside training text: spaced seeds find, overlaps around the hits are verified.
 
 A seed is a window of words hashed under a fixed mask that ignores some positions, so a word replaced at
-an ignored position does not hide a passage. The windows of the test items, a stated query set, are looked
-up from the windows of every document, in blocks of items of bounded size. Each hit names a diagonal of
-document against item; along it the words are compared, which gives the longest run of equal words and the
-best stretch that tolerates replaced words.
+an ignored position does not hide a passage. The seeds of the test items are a table; those of the documents are
+filtered by a Bloom filter of bounded size where the documents are read, in one pass whatever the number of items,
+and what passes is joined with the table. Each hit names diagonals of document against item; along them the words
+are compared, which gives the longest run of equal words and the best stretch that tolerates replaced words.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator, Sequence
 
@@ -17,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.session import spread
+from postloom.operators.skew import lookup_join
+from postloom.session import spread, write_stage
 
 WORDS = 12  # consecutive words that make a leak
-BLOCK_WORDS = 500_000  # words of test items that are broadcast at once, about 30 MB with their seeds
+FILTER_BITS = 29  # log of the bits of the filter at most, 64 MB
+_OUTER = 1 << 22  # pairs of positions from which diagonals are listed one by one
 # Fixed masks for windows of 12 words: 1 counts, 0 is ignored. Every two of the inner positions are ignored by one of them.
 MASKS_12 = ("110100110111", "111011001011", "101011010101", "101110100011", "110001101101", "100101011011", "111010011001")
 _WORD = re.compile(r"[^\W_]+")
@@ -87,23 +90,64 @@ class _Hasher:
         return np.fromiter((self.known[t] for t in tokens), np.uint64, len(tokens))
 
 
-def item_index(items: list[tuple[int, str]], least: int = WORDS) -> dict:
-    """Everything the search needs of one block of items: word hashes, and the sorted seeds of each mask."""
+def all_seeds(h: np.ndarray, span: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of the window, seeds) of the hashed words of a text, for items of that span."""
+    for m, (width, mask) in enumerate(windows(span)):
+        yield m, seeds(h, mask, width, (span << 6) + m)
+
+
+def grouped(s: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(seed, its positions) of the seeds of one text and window, each seed once."""
+    order = np.argsort(s, kind="stable")
+    cuts = np.flatnonzero(np.diff(s[order])) + 1
+    for part in np.split(order, cuts) if len(s) else ():
+        yield int(s[part[0]].astype(np.int64)), part.astype(np.int32)
+
+
+class Bloom:
+    """A filter of 2^bits bits with two probes per seed."""
+
+    def __init__(self, bits: int, words: np.ndarray):
+        self.bits, self.words = bits, words
+
+    @staticmethod
+    def size(n: int) -> int:
+        """1024 bits per seed, as far as ``FILTER_BITS`` allows; fewer only let more pass to the join."""
+        return min(FILTER_BITS, max(10, int(n).bit_length() + 10))
+
+    def _bit(self, at: np.ndarray) -> np.ndarray:
+        return (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
+
+    def passing(self, s: np.ndarray) -> np.ndarray:
+        """The positions of the seeds that may be in the filter."""
+        first = np.flatnonzero(self._bit(s >> np.uint64(64 - self.bits)))
+        return first[self._bit(s[first] & np.uint64((1 << self.bits) - 1)) != 0]
+
+
+def diagonals(pairs: Sequence[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The distinct differences of the positions of equal seeds; all in between where there are very many pairs."""
+    out = []
+    for a, b in pairs:
+        if len(a) * len(b) <= _OUTER:
+            out.append(np.unique(a[:, None].astype(np.int64) - b[None, :]))
+        else:
+            out.append(np.arange(int(a.min()) - int(b.max()), int(a.max()) - int(b.min()) + 1))
+    return np.unique(np.concatenate(out))
+
+
+def search(texts: Sequence[str | None], items: Sequence[tuple[int, str]], least: int = WORDS) -> list[tuple[int, int, int, int, int]]:
+    """(text number, item, longest equal run, words of the best stretch, replaced words in it), without tables."""
     hasher = _Hasher()
-    rows = [(i, hasher(words(t))) for i, t in items]
-    rows = [(i, h) for i, h in rows if len(h)]
-    found: dict[tuple[int, int], list] = {}
-    for k, (_, h) in enumerate(rows):
-        span = min(least, len(h))
-        for m, (width, mask) in enumerate(windows(span)):
-            s = seeds(h, mask, width, m)
-            found.setdefault((span, m), []).append((s, np.full(len(s), k), np.arange(len(s))))
-    tables = {}
-    for at, parts in found.items():
-        s, k, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(s, kind="stable")
-        tables[at] = (s[order], k[order].astype(np.int64), pos[order].astype(np.int64))
-    return {"ids": [i for i, _ in rows], "hashes": [h for _, h in rows], "tables": tables}
+    docs, own = [hasher(words(t)) for t in texts], {i: hasher(words(t)) for i, t in items}
+    out = []
+    for i, item in own.items():
+        span = min(least, len(item))
+        sown = {(m, s): p for m, x in all_seeds(item, span) for s, p in grouped(x)} if span else {}
+        for d, doc in enumerate(docs):
+            met = [(p, sown[m, s]) for m, x in (all_seeds(doc, span) if span else ()) for s, p in grouped(x) if (m, s) in sown]
+            if met:
+                out.append((d, i, *verified(doc, item, diagonals(met))))
+    return out
 
 
 def overlap(a: np.ndarray, b: np.ndarray, diagonal: int) -> tuple[int, int, int]:
@@ -119,40 +163,19 @@ def overlap(a: np.ndarray, b: np.ndarray, diagonal: int) -> tuple[int, int, int]
     return run, end - start, int(np.sum(~same[start:end]))
 
 
-def search(texts: list[str | None], index: dict, hasher: _Hasher | None = None) -> list[tuple[int, int, int, int, int]]:
-    """(text number, item number, longest equal run, words of the best stretch, replaced words in it)."""
-    hasher = hasher or _Hasher()
-    hashed = [hasher(words(t)) for t in texts]
-    # texts in one array, set apart by numbers that no word has at that place
-    apart = _mix(np.arange(1, len(hashed) + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-    flat = np.concatenate([p for h, s in zip(hashed, apart, strict=True) for p in (h, np.full(1, s, np.uint64))]) if hashed else np.zeros(0, np.uint64)
-    starts = np.cumsum([0, *(len(h) + 1 for h in hashed)])
-    cands = []
-    for (span, m), (table, item, pos) in index["tables"].items():
-        width, mask = windows(span)[m]
-        s = seeds(flat, mask, width, m)
-        left = np.searchsorted(table, s, "left")
-        hit = np.flatnonzero(table[np.minimum(left, len(table) - 1)] == s) if len(s) else np.zeros(0, np.int64)
-        if not len(hit):
-            continue
-        n = np.searchsorted(table, s[hit], "right") - left[hit]
-        at = np.repeat(left[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        where = np.repeat(hit, n)
-        doc = np.searchsorted(starts, where, "right") - 1
-        own = where + width < starts[doc + 1]  # a window that reaches into the next text is none
-        cands.append(np.stack([doc, item[at], where - starts[doc] - pos[at]])[:, own])
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for doc, item, diagonal in np.unique(np.concatenate(cands, axis=1), axis=1).T.tolist() if cands else ():
-        run, size, missed = overlap(hashed[doc], index["hashes"][item], diagonal)
-        old = best.get((doc, item), (0, 0, 0))
-        stretch = max((size - missed, -missed, size), (old[1] - old[2], -old[2], old[1]))
-        best[doc, item] = (max(run, old[0]), stretch[2], -stretch[1])
-    return [(d, i, *v) for (d, i), v in best.items()]
+def verified(doc: np.ndarray, item: np.ndarray, at: np.ndarray) -> tuple[int, int, int]:
+    """Over some diagonals: the longest run of equal words, and words and replaced words of the best stretch."""
+    run, best = 0, (0, 0, 0)
+    for d in at.tolist():
+        r, size, missed = overlap(doc, item, d)
+        run, best = max(run, r), max(best, (size - missed, -missed, size))
+        if r == len(item):  # nothing can be better
+            break
+    return run, best[2], -best[1]
 
 
 def leaked(
-    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    least: int = WORDS, block_words: int = BLOCK_WORDS,
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = WORDS,
 ) -> DataFrame:
     """(doc_id, item_id, item_words, equal_run, stretch, replaced): documents that share a seed with an item.
 
@@ -161,44 +184,98 @@ def leaked(
     consecutive words of an item of which at most two are replaced, and the whole of an item of 4 to 11 words
     of which at most one is; items below 4 words are found unchanged only. With more words replaced a passage
     may or may not be found. Items below ``least`` words are searched as a whole. Ids that are null and texts that are null or without words give no row; rows repeated under
-    one id are searched each, and the longest run comes out. Whole texts are searched. Items are taken in
-    blocks by a hash of their id, so what is broadcast at once does not grow with their number.
+    one id are searched each, and the longest run comes out. Whole texts are searched. The documents are read
+    once; only the filter is broadcast, whose size is bounded, and the combinations of window and mask.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     spark = docs.sparkSession
-    own = items.select(items[item_id].alias("i"), items[item_text].alias("t")).filter("i is not null and t is not null").distinct()
-    total = own.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0
-    n_blocks = max(1, -(-total // block_words))
-    rows = spread(docs.select(docs[doc_id].alias("d"), docs[text].alias("t")).filter("d is not null and t is not null"))
     kinds = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
+    item_type = to_arrow_type(items.schema[item_id].dataType)
 
-    def searcher(index):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hasher, known = _Hasher(), index.value
-            for b in batches:
-                for at in range(0, b.num_rows, 256):
-                    part = b.slice(at, 256)
-                    got = search(part.column(1).to_pylist(), known, hasher)
-                    if got:
-                        d, i, run_, size, missed = (list(x) for x in zip(*got, strict=True))
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                part.column(0).take(pa.array(d)), pa.array([known["ids"][k] for k in i], item_type),
-                                *(pa.array(x, pa.int64()) for x in ([len(known["hashes"][k]) for k in i], run_, size, missed)),
-                            ],
-                            ["d", "i", "n", "run", "size", "missed"],
-                        )
-
-        return run
+    def sow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = _Hasher()
+        for b in batches:
+            for k in range(b.num_rows):
+                h = hasher(words(b.column(1)[k].as_py()))
+                if not len(h):
+                    continue
+                span, no = min(least, len(h)), b.column(2)[k].as_py()
+                got = [(s, m, p) for m, x in all_seeds(h, span) for s, p in grouped(x)]
+                n = len(got)
+                first = [h.tobytes()] + [None] * (n - 1)  # the words go along once
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([no] * n, pa.int64()), pa.array([b.column(0)[k].as_py()] * n, item_type), pa.array([span] * n, pa.int32()),
+                        pa.array([m for _, m, _ in got], pa.int32()), pa.array([s for s, _, _ in got], pa.int64()), pa.array([p for _, _, p in got], pa.list_(pa.int32())), pa.array(first, pa.binary()),
+                    ],
+                    ["no", "i", "span", "m", "s", "ipos", "words"],
+                )
 
-    from pyspark.sql.pandas.types import to_arrow_type
+    own = items.select(items[item_id].alias("i"), items[item_text].alias("t")).filter("i is not null and t is not null").distinct()
+    own = own.withColumn("no", F.xxhash64("i", "t"))
+    sown = write_stage(spread(own).mapInArrow(sow, f"no long, i {kinds[1]}, span int, m int, s long, ipos array<int>, words binary"), "seeds")
+    forms = sorted({r.span for r in sown.select("span").distinct().collect()})  # at most ``least``
+    bits = Bloom.size(sown.count())
+    probes = F.array(F.call_function("shiftrightunsigned", F.col("s"), F.lit(64 - bits)), F.col("s").bitwiseAND(F.lit((1 << bits) - 1)))
+    set_ = sown.select(F.explode(probes).alias("at")).select(F.shiftright("at", 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int")).alias("b"))
+    filled = set_.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most 2^(FILTER_BITS - 6) rows
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[filled["w"].to_numpy(np.int64)] = filled["b"].to_numpy(np.int64).view(np.uint64)
+    known = spark.sparkContext.broadcast(Bloom(bits, table))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, seen = _Hasher(), known.value
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                hashed = [hasher(words(t)) for t in part.column(1).to_pylist()]
+                ends = np.cumsum([len(h) + 1 for h in hashed])
+                # the texts in one array, set apart by numbers that no word has at that place
+                apart = _mix(np.arange(1, len(hashed) + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+                flat = np.concatenate([x for h, a in zip(hashed, apart, strict=True) for x in (h, np.full(1, a, np.uint64))])
+                found: dict[int, list[tuple[int, np.ndarray]]] = {}
+                for span in forms:
+                    for m, (width, mask) in enumerate(windows(span)):
+                        s = seeds(flat, mask, width, (span << 6) + m)
+                        hit = seen.passing(s)
+                        doc = np.searchsorted(ends, hit, "right")
+                        inside = hit + width < ends[np.minimum(doc, len(ends) - 1)]  # a window that reaches into the next text is none
+                        hit, doc = hit[inside], doc[inside]
+                        for d in np.unique(doc).tolist():
+                            where = hit[doc == d]
+                            start = ends[d] - len(hashed[d]) - 1
+                            found.setdefault(d, []).extend((x, where[p] - start) for x, p in grouped(s[where]))
+                if found:
+                    rows = sorted(found)
+                    ids = part.column(0).take(pa.array(rows))
+                    uid = [int.from_bytes(hashlib.blake2b(repr(i.as_py()).encode() + hashed[d].tobytes(), digest_size=8).digest(), signed=True) for i, d in zip(ids, rows, strict=True)]
+                    hits = [[{"s": x, "pos": p} for x, p in found[d]] for d in rows]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(uid, pa.int64()), ids, pa.array([hashed[d].tobytes() for d in rows], pa.binary()), pa.array(hits, pa.list_(pa.struct([("s", pa.int64()), ("pos", pa.list_(pa.int32()))])))],
+                        ["uid", "d", "words", "hits"],
+                    )
 
-    item_type = to_arrow_type(items.schema[item_id].dataType)
-    out = None
-    for block in range(n_blocks):
-        part = own.filter(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == block)
-        index = spark.sparkContext.broadcast(item_index([(r.i, r.t) for r in part.collect()], least))
-        got = rows.mapInArrow(searcher(index), f"d {kinds[0]}, i {kinds[1]}, n long, run long, size long, missed long")
-        out = got if out is None else out.unionByName(got)
+    rows = spread(docs.select(docs[doc_id].alias("d"), docs[text].alias("t")).filter("d is not null and t is not null"))
+    met = write_stage(rows.mapInArrow(scan, f"uid long, d {kinds[0]}, words binary, hits array<struct<s:long,pos:array<int>>>"), "met")
+    hits = met.select("uid", F.explode("hits").alias("x")).select("uid", "x.s", "x.pos").dropDuplicates(["uid", "s"])
+    joined = lookup_join(hits, sown.select("s", "no", "ipos"), ["s"], None, 100_000).filter("no is not null")
+    pairs = joined.groupBy("uid", "no").agg(F.collect_list(F.struct("pos", "ipos")).alias("at"))
+    pairs = pairs.join(met.select("uid", "d", F.col("words").alias("dw")).dropDuplicates(["uid"]), "uid")
+    known_items = sown.filter("words is not null").select("no", "i", F.col("words").alias("iw"))
+    both = lookup_join(write_stage(pairs, "pairs"), known_items, ["no"], None, 100_000)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = []
+            for dw, iw, at in zip(*(b.column(c) for c in ("dw", "iw", "at")), strict=True):
+                places = [(np.asarray(x["pos"], np.int32), np.asarray(x["ipos"], np.int32)) for x in at.as_py()]
+                doc, item = (np.frombuffer(x.as_py(), np.uint64) for x in (dw, iw))
+                got.append((len(item), *verified(doc, item, diagonals(places))))
+            if got:
+                yield pa.RecordBatch.from_arrays([b.column("d"), b.column("i"), *(pa.array(x, pa.int64()) for x in zip(*got, strict=True))], ["d", "i", "n", "run", "size", "missed"])
+
+    out = both.select("d", "i", "dw", "iw", "at").mapInArrow(verify, f"d {kinds[0]}, i {kinds[1]}, n long, run long, size long, missed long")
     best = out.groupBy("d", "i").agg(F.max(F.struct("run", "size", (-F.col("missed")).alias("missed"), "n")).alias("x"))
     return best.select(
         F.col("d").alias(doc_id), F.col("i").alias(item_id), F.col("x.n").alias("item_words"), F.col("x.run").alias("equal_run"),

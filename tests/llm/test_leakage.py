@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -41,12 +42,13 @@ def _brute(items, docs, least=12):
     return out
 
 
-@pytest.mark.parametrize("block", [500_000, 100])
-def test_equals_brute_force(spark, block):
+@pytest.mark.parametrize("bits", [leakage.FILTER_BITS, 10])
+def test_equals_brute_force(spark, bits, monkeypatch):
+    monkeypatch.setattr(leakage, "FILTER_BITS", bits)  # a small filter lets much pass to the join
     items, docs = _case()
     d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, item_id int")
     i = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, doc_id int")
-    found = leakage.leaked(d, i, block_words=block)
+    found = leakage.leaked(d, i)
     got = [tuple(r) for r in leakage.exact_leaks(found).collect()]
     assert len(got) == len(set(got)) and set(got) == _brute(items, docs)
     assert leakage.leaked(d.limit(0), i).count() == 0 and leakage.leaked(d, i.limit(0)).count() == 0
@@ -56,7 +58,7 @@ def test_replaced_words_are_tolerated():
     item = " ".join(f"a{i}" for i in range(20))
     w = item.split()
     w[7], w[15] = "x", "y"
-    ((_, _, run, stretch, replaced),) = leakage.search(["so " + " ".join(w) + " end"], leakage.item_index([(1, item)]))
+    ((_, _, run, stretch, replaced),) = leakage.search(["so " + " ".join(w) + " end"], [(1, item)])
     assert (run, stretch, replaced) == (7, 20, 2)
 
 
@@ -71,7 +73,7 @@ def _found(item, at):
     w = item.split()
     for k in at:
         w[k] = f"x{k}"
-    return len(leakage.search(["unrelated text", "so " + " ".join(w) + " end", " ".join(w)], leakage.item_index([(1, item)]))) == 2
+    return len(leakage.search(["unrelated text", "so " + " ".join(w) + " end", " ".join(w)], [(1, item)])) == 2
 
 
 def test_no_replaced_position_is_blind():
@@ -83,4 +85,41 @@ def test_no_replaced_position_is_blind():
 
 def test_a_passage_over_two_texts_is_none():
     item = [f"a{i}" for i in range(13)]
-    assert leakage.search([" ".join(item[:5]), " ".join(item[6:])], leakage.item_index([(1, " ".join(item))])) == []
+    assert leakage.search([" ".join(item[:5]), " ".join(item[6:])], [(1, " ".join(item))]) == []
+
+
+def test_documents_are_read_once_however_many_items(spark):
+    r = random.Random(3)
+    items = [(i, " ".join(r.choices([f"v{j}" for j in range(5000)], k=30))) for i in range(400)]
+    docs = [(i, " ".join(r.choices([f"v{j}" for j in range(5000)], k=20)) + " " + items[i % 400][1]) for i in range(500)]
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    d = spark.createDataFrame(docs, "doc_id long, text string").mapInArrow(seen, "doc_id long, text string")
+    got = {tuple(x) for x in leakage.exact_leaks(leakage.leaked(d, spark.createDataFrame(items, "item_id long, text string"))).collect()}
+    assert {(i, i % 400) for i in range(500)} <= got and reads.value == len(docs)
+
+
+def test_repeated_words_take_little_time():
+    began = time.time()
+    ((_, _, run, size, missed),) = leakage.search(["la " * 4000], [(1, "la " * 400)])
+    assert (run, size, missed) == (400, 400, 0)
+    ((_, _, run, _, _),) = leakage.search(["la " * 200_000 + "end"], [(1, "la " * 3000 + "other")])
+    assert run == 3000 and time.time() - began < 20
+
+
+def test_diagonals_and_filter():
+    a, b = np.array([3, 9], np.int32), np.array([1, 7], np.int32)
+    assert leakage.diagonals([(a, b), (b, b)]).tolist() == [-6, -4, 0, 2, 6, 8]
+    r = np.random.default_rng(1)
+    s = r.integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    bits = leakage.Bloom.size(len(s))
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    for at in (s >> np.uint64(64 - bits), s & np.uint64((1 << bits) - 1)):
+        np.bitwise_or.at(words, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+    seen = leakage.Bloom(bits, words)
+    assert len(seen.passing(s)) == len(s) and len(seen.passing(r.integers(0, 1 << 63, 100_000, dtype=np.uint64))) < 20
