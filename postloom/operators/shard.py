@@ -140,11 +140,11 @@ def scatter_gather(index: Index, queries: DataFrame, k: int = rank.TOP_K, down:
     """
     post = index.postings.filter(~F.col("shard").isin(*down)) if down else index.postings
     scored = rank.scores(Index(index.docs, post, index.df, index.stats), queries)
-    own = Window.partitionBy("query_id", "shard").orderBy(F.round("score", 10).desc(), F.col("first_pos").asc(), F.col("doc_id").asc())
+    own = Window.partitionBy("query_id", "shard").orderBy(rank.compared().desc(), F.col("first_pos").asc(), F.col("doc_id").asc())
     local = scored.withColumn("r", F.row_number().over(own)).filter(F.col("r") <= k)
-    ties = Window.partitionBy("query_id", "shard", F.round("score", 10)).orderBy("r")
+    ties = Window.partitionBy("query_id", "shard", rank.compared()).orderBy("r")
     heads = local.withColumn("head", F.min("doc_id").over(ties))  # at most k rows per query and shard
-    order = [F.round("score", 10).desc(), F.col("head").desc(), F.col("r").asc()]
+    order = [rank.compared().desc(), F.col("head").desc(), F.col("r").asc()]
     merged = heads.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)
     return merged.select("query_id", "rank", "doc_id", "score", "shard")
 
