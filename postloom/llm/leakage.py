@@ -64,15 +64,45 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def seeds(h: np.ndarray, mask: np.ndarray, span: int, salt: int) -> np.ndarray:
-    """The hash of every window of ``span`` words under a mask."""
-    n = len(h) - span + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.full(n, salt + 1, np.uint64)
-    for k in mask:
-        out = _mix(out * np.uint64(0xD6E8FEB86659FD93) + h[k : k + n] + np.uint64(int(k) + 1))
-    return out
+_ODD = 0xD6E8FEB86659FD93
+_POWERS = [pow(_ODD, k, 1 << 64) for k in range(64)]
+_INVERSE = pow(_ODD, -1, 1 << 64)
+
+
+class Windows:
+    """The seeds of all windows of some hashed words, from running sums.
+
+    A seed is the sum of the words that count, each times a power of an odd number by its place, then mixed. A whole window is
+    the difference of two running sums; what a mask ignores is taken off.
+    """
+
+    def __init__(self, h: np.ndarray):
+        self.h = h
+        n = len(h)
+        with np.errstate(over="ignore"):
+            self.inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _INVERSE, np.uint64)]), dtype=np.uint64)
+            up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(0, n - 1), _ODD, np.uint64)]), dtype=np.uint64)[:n]
+            self.total = np.concatenate([[np.uint64(0)], np.cumsum(h * up, dtype=np.uint64)])
+        self.scaled: dict[int, np.ndarray] = {}
+        self.whole: dict[int, np.ndarray] = {}
+
+    def seeds(self, mask: np.ndarray, width: int, salt: int) -> np.ndarray:
+        """The hash of every window of ``width`` words under a mask."""
+        n = len(self.h) - width + 1
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        if width not in self.whole:
+            self.whole[width] = (self.total[width:] - self.total[:-width]) * self.inverse[:n]
+        out = self.whole[width] + np.uint64((salt + 1) * 0xA0761D6478BD642F % (1 << 64))
+        for k in sorted(set(range(width)) - set(mask.tolist())):
+            if k not in self.scaled:
+                self.scaled[k] = self.h * np.uint64(_POWERS[k])
+            out -= self.scaled[k][k : k + n]
+        return _mix(out)
+
+
+def seeds(h: np.ndarray, mask: np.ndarray, width: int, salt: int) -> np.ndarray:
+    return Windows(h).seeds(mask, width, salt)
 
 
 class _Hasher:
@@ -92,8 +122,9 @@ class _Hasher:
 
 def all_seeds(h: np.ndarray, span: int) -> Iterator[tuple[int, np.ndarray]]:
     """(number of the window, seeds) of the hashed words of a text, for items of that span."""
+    own = Windows(h)
     for m, (width, mask) in enumerate(windows(span)):
-        yield m, seeds(h, mask, width, (span << 6) + m)
+        yield m, own.seeds(mask, width, (span << 6) + m)
 
 
 def grouped(s: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -105,10 +136,13 @@ def grouped(s: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 class Bloom:
-    """A filter of 2^bits bits with two probes per seed."""
+    """A filter of 2^bits bits with two probes per seed, behind a small one that stays in the processor's cache."""
 
-    def __init__(self, bits: int, words: np.ndarray):
+    def __init__(self, bits: int, words: np.ndarray, seeds: int):
         self.bits, self.words = bits, words
+        # the small filter is the large one folded: its bit is set if any of those that share its leading bits is
+        self.few = max(0, min(bits - 6, int(seeds).bit_length() + 4))
+        self.small = words.reshape(1 << self.few, -1).any(axis=1)
 
     @staticmethod
     def size(n: int) -> int:
@@ -120,8 +154,9 @@ class Bloom:
 
     def passing(self, s: np.ndarray) -> np.ndarray:
         """The positions of the seeds that may be in the filter."""
-        first = np.flatnonzero(self._bit(s >> np.uint64(64 - self.bits)))
-        return first[self._bit(s[first] & np.uint64((1 << self.bits) - 1)) != 0]
+        got = np.flatnonzero(self.small[s >> np.uint64(64 - self.few)]) if self.few else np.arange(len(s))
+        got = got[self._bit(s[got] >> np.uint64(64 - self.bits)) != 0]
+        return got[self._bit(s[got] & np.uint64((1 << self.bits) - 1)) != 0]
 
 
 def diagonals(pairs: Sequence[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -154,13 +189,20 @@ def overlap(a: np.ndarray, b: np.ndarray, diagonal: int) -> tuple[int, int, int]
     """Along ``a[i + diagonal] = b[i]``: longest run of equal words; words and replaced words of the best stretch."""
     lo, hi = max(0, -diagonal), min(len(b), len(a) - diagonal)
     same = a[lo + diagonal : hi + diagonal] == b[lo:hi]
-    ends = np.flatnonzero(np.append(~same, True))
-    run = int(np.max(np.diff(np.append(-1, ends)) - 1))
-    total = np.append(0, np.cumsum(np.where(same, 1, _MISS)))
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-    return run, end - start, int(np.sum(~same[start:end]))
+    missed = np.flatnonzero(~same)
+    if not len(missed):
+        return hi - lo, hi - lo, 0
+    # the runs of equal words between replaced ones; a stretch starts and ends with a run
+    runs = np.diff(np.concatenate([[-1], missed, [hi - lo]])) - 1
+    best, size, gaps, now, first = 0, 0, 0, 0, 0
+    for k, r in enumerate(runs.tolist()):
+        now += _MISS if k else 0
+        if now <= 0 or not k:
+            now, first = 0, k
+        now += r
+        if now > best:
+            best, size, gaps = now, int(runs[first : k + 1].sum()) + k - first, k - first
+    return int(runs.max()), size, gaps
 
 
 def verified(doc: np.ndarray, item: np.ndarray, at: np.ndarray) -> tuple[int, int, int]:
@@ -216,13 +258,14 @@ def leaked(
     own = own.withColumn("no", F.xxhash64("i", "t"))
     sown = write_stage(spread(own).mapInArrow(sow, f"no long, i {kinds[1]}, span int, m int, s long, ipos array<int>, words binary"), "seeds")
     forms = sorted({r.span for r in sown.select("span").distinct().collect()})  # at most ``least``
-    bits = Bloom.size(sown.count())
+    n_seeds = sown.count()
+    bits = Bloom.size(n_seeds)
     probes = F.array(F.call_function("shiftrightunsigned", F.col("s"), F.lit(64 - bits)), F.col("s").bitwiseAND(F.lit((1 << bits) - 1)))
     set_ = sown.select(F.explode(probes).alias("at")).select(F.shiftright("at", 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int")).alias("b"))
     filled = set_.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most 2^(FILTER_BITS - 6) rows
     table = np.zeros(1 << (bits - 6), np.uint64)
     table[filled["w"].to_numpy(np.int64)] = filled["b"].to_numpy(np.int64).view(np.uint64)
-    known = spark.sparkContext.broadcast(Bloom(bits, table))
+    known = spark.sparkContext.broadcast(Bloom(bits, table, n_seeds))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen = _Hasher(), known.value
@@ -235,9 +278,10 @@ def leaked(
                 apart = _mix(np.arange(1, len(hashed) + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
                 flat = np.concatenate([x for h, a in zip(hashed, apart, strict=True) for x in (h, np.full(1, a, np.uint64))])
                 found: dict[int, list[tuple[int, np.ndarray]]] = {}
+                every = Windows(flat)
                 for span in forms:
                     for m, (width, mask) in enumerate(windows(span)):
-                        s = seeds(flat, mask, width, (span << 6) + m)
+                        s = every.seeds(mask, width, (span << 6) + m)
                         hit = seen.passing(s)
                         doc = np.searchsorted(ends, hit, "right")
                         inside = hit + width < ends[np.minimum(doc, len(ends) - 1)]  # a window that reaches into the next text is none
@@ -260,18 +304,23 @@ def leaked(
     met = write_stage(rows.mapInArrow(scan, f"uid long, d {kinds[0]}, words binary, hits array<struct<s:long,pos:array<int>>>"), "met")
     hits = met.select("uid", F.explode("hits").alias("x")).select("uid", "x.s", "x.pos").dropDuplicates(["uid", "s"])
     joined = lookup_join(hits, sown.select("s", "no", "ipos"), ["s"], None, 100_000).filter("no is not null")
-    pairs = joined.groupBy("uid", "no").agg(F.collect_list(F.struct("pos", "ipos")).alias("at"))
-    pairs = pairs.join(met.select("uid", "d", F.col("words").alias("dw")).dropDuplicates(["uid"]), "uid")
+    # the diagonals that equal seeds name; all in between where there are very many pairs of positions
+    listed = F.array_distinct(F.flatten(F.transform("pos", lambda p: F.transform("ipos", lambda q: p - q))))
+    spanned = F.sequence(F.array_min("pos") - F.array_max("ipos"), F.array_max("pos") - F.array_min("ipos"))
+    few = F.size("pos").cast("long") * F.size("ipos") <= _OUTER
+    pairs = joined.select("uid", "no", F.when(few, listed).otherwise(spanned).alias("at"))
+    pairs = write_stage(pairs.groupBy("uid", "no").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at")), "pairs")
     known_items = sown.filter("words is not null").select("no", "i", F.col("words").alias("iw"))
-    both = lookup_join(write_stage(pairs, "pairs"), known_items, ["no"], None, 100_000)
+    both = lookup_join(pairs, known_items, ["no"], None, 100_000)
+    # last, so that the words of a document move once, whatever the number of its items
+    both = both.join(met.select("uid", "d", F.col("words").alias("dw")).dropDuplicates(["uid"]), "uid")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = []
             for dw, iw, at in zip(*(b.column(c) for c in ("dw", "iw", "at")), strict=True):
-                places = [(np.asarray(x["pos"], np.int32), np.asarray(x["ipos"], np.int32)) for x in at.as_py()]
-                doc, item = (np.frombuffer(x.as_py(), np.uint64) for x in (dw, iw))
-                got.append((len(item), *verified(doc, item, diagonals(places))))
+                doc, item = (np.frombuffer(x.as_buffer(), np.uint64) for x in (dw, iw))
+                got.append((len(item), *verified(doc, item, at.values.to_numpy())))
             if got:
                 yield pa.RecordBatch.from_arrays([b.column("d"), b.column("i"), *(pa.array(x, pa.int64()) for x in zip(*got, strict=True))], ["d", "i", "n", "run", "size", "missed"])
 

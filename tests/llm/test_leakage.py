@@ -121,5 +121,41 @@ def test_diagonals_and_filter():
     words = np.zeros(1 << (bits - 6), np.uint64)
     for at in (s >> np.uint64(64 - bits), s & np.uint64((1 << bits) - 1)):
         np.bitwise_or.at(words, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
-    seen = leakage.Bloom(bits, words)
+    seen = leakage.Bloom(bits, words, len(s))
     assert len(seen.passing(s)) == len(s) and len(seen.passing(r.integers(0, 1 << 63, 100_000, dtype=np.uint64))) < 20
+
+
+def _plain_overlap(a, b, diagonal):
+    lo, hi = max(0, -diagonal), min(len(b), len(a) - diagonal)
+    same = [a[i + diagonal] == b[i] for i in range(lo, hi)]
+    run = now = 0
+    for x in same:
+        now = now + 1 if x else 0
+        run = max(run, now)
+    best = (0, 0, 0)
+    for i in range(len(same)):
+        for j in range(i + 1, len(same) + 1):
+            gaps = same[i:j].count(False)
+            best = max(best, (j - i - 3 * gaps, -gaps, j - i))
+    return run, best[2], -best[1]
+
+
+def test_overlap_equals_all_stretches():
+    r = random.Random(6)
+    for _ in range(300):
+        a, b = (np.array([r.randrange(3) for _ in range(r.randrange(1, 14))], np.uint64) for _ in range(2))
+        d = r.randrange(-len(b) + 1, len(a))
+        run, size, missed = leakage.overlap(a, b, d)
+        want = _plain_overlap(a.tolist(), b.tolist(), d)
+        assert run == want[0] and size - 3 * missed == want[1] - 3 * want[2]
+
+
+def test_seeds_see_the_words_that_count():
+    h = np.arange(1, 40, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mask = np.array([0, 2, 3, 5])
+    one = leakage.seeds(h, mask, 6, 3)
+    assert len(set(one.tolist())) == len(h) - 5
+    other = h.copy()
+    other[[11, 14]] = 7  # places 1 and 4 of the window at 10
+    two = leakage.seeds(other, mask, 6, 3)
+    assert two[10] == one[10] and two[9] != one[9] and leakage.seeds(h, mask, 6, 4)[10] != one[10]
