@@ -76,18 +76,24 @@ def p4_ranked(spark: SparkSession, d: str) -> DataFrame:
 # ---- 5: visually identical text ------------------------------------------------------------------
 
 
-def _forms(spark: SparkSession, d: str) -> DataFrame:
-    return lookalike.normal_forms(lookalike.titles_and_texts(table(spark, d, "indexed_docs"), table(spark, d, "stream_articles")))
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.titles_and_texts(table(spark, d, "indexed_docs"), table(spark, d, "stream_articles"))
 
 
 @query
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return lookalike.same_looking_pairs(_forms(spark, d))
+    return lookalike.pairs_of(_entries(spark, d))
+
+
+@query
+def p5_method(spark: SparkSession, d: str) -> DataFrame:
+    """The strict rule: only mixed-script tokens are repaired, and only to words that stand in the corpus."""
+    return lookalike.pairs_of(_entries(spark, d), strict=True)
 
 
 @query
 def p5_forms(spark: SparkSession, d: str) -> DataFrame:
-    return _forms(spark, d).select("field", "id", "form")
+    return lookalike.normal_forms(_entries(spark, d)).select("field", "id", "form")
 
 
 # ---- 6: how distinctive a term is ----------------------------------------------------------------

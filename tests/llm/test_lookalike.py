@@ -48,3 +48,30 @@ def test_copies_of_one_spelling_do_not_meet(spark):
     got = lookalike.same_looking_pairs(lookalike.normal_forms(spark.createDataFrame(rows, "field string, id long, text string")))
     assert got.count() == 600
     assert lookalike.same_looking_pairs(lookalike.normal_forms(spark.createDataFrame([], "field string, id long, text string"))).count() == 0
+
+
+PAIRS = [(latin, c) for latin, row in lookalike._FORMS.items() for s, c in row.items() if s != "LATIN"] + [("g", "ɡ"), ("I", "Ӏ")]
+
+
+@pytest.mark.parametrize("latin,other", PAIRS)
+def test_every_shape_is_repaired_in_a_latin_word(latin, other):
+    assert lookalike.repaired(f"z{other}mt", "LATIN") == f"z{latin}mt" and other != latin
+
+
+@pytest.mark.parametrize("a,b", [("Ⅹ", "X"), ("ⅷ", "viii"), ("Ⅻ", "XII"), ("ⅼ", "l")])
+def test_roman_numerals_are_their_letters(a, b):
+    assert lookalike.fold(f"No {a}") == f"No {b}"
+
+
+def test_the_strict_rule_repairs_mixed_tokens_to_standing_words_only(spark):
+    df = spark.createDataFrame([("f", i, t) for i, t in TEXTS], "field string, id long, text string")
+    got = {(r.id_a, r.id_b) for r in lookalike.pairs_of(df, strict=True).collect()}
+    whole = {(r.id_a, r.id_b) for r in lookalike.pairs_of(df).collect()}
+    assert got < whole and {(1, 3), (3, 4)} <= got and (7, 8) not in got and (9, 10) not in got
+
+
+def test_large_groups_of_two_spellings(spark):
+    """Both spellings are heavy: the pairs are all there, and rows delivered again add none."""
+    rows = [("f", i, "cоpy" if i % 2 else "copy") for i in range(240)] * 2
+    df = spark.createDataFrame(rows, "field string, id long, text string")
+    assert lookalike.pairs_of(df).count() == 120 * 120
