@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from postloom.conf import EngineConf
-from postloom.operators import rank, shard, storage
+from postloom.operators import rank, shard, state, storage
 from postloom.operators.index import Index
 from postloom.sources import wiki
 from postloom.functions.urls import article_url
@@ -65,8 +65,8 @@ class Engine:
         def build() -> Index:
             if not conf.dump_path:
                 raise ValueError("neither a stored index nor a dump is given")
-            got = wiki.articles(wiki.read_dump(spark, conf.dump_path), conf.corpus_size)
-            return Index.build(got.select(got["id"].alias("doc_id"), article_url(got["title"]).alias("url"), "title", "text"))
+            got = wiki.numbered(wiki.articles(wiki.read_dump(spark, conf.dump_path), conf.corpus_size))
+            return Index.build(got.select("doc_id", article_url(got["title"]).alias("url"), "title", "text"))
 
         return cls(spark, storage.open_or_build(spark, conf.index_dir, build), conf)
 
@@ -104,6 +104,13 @@ class Engine:
             "cache": {"hits": c.hits, "misses": c.misses, "hit_rate": round(c.hit_rate, 4), "size": len(c), "capacity": c.capacity},
         }
 
+    def coordinator_stats(self, log: DataFrame) -> dict:
+        """The shards, and the state of each one's breaker after a log of calls (shard, seq, ts, op)."""
+        last = {r.shard: r for r in state.breaker_stats(state.breaker_replay(log, self.conf.breaker_threshold, self.conf.breaker_cooldown)).collect()}
+        fresh = {"state": state.CLOSED, "consecutive_failures": 0}
+        known = {s: {"state": r.state, "consecutive_failures": r.fails} for s, r in last.items()}
+        return {"shards": list(self.conf.shards), "breakers": {s: known.get(s, fresh) for s in self.conf.shards}}
+
     def sharded(self) -> DataFrame:
         """The documents with their shard."""
         return self.sharded_index().docs

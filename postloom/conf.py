@@ -11,7 +11,7 @@ from dataclasses import dataclass
 class EngineConf:
     index_dir: str | None = None
     dump_path: str | None = None
-    corpus_size: int = 20_000
+    corpus_size: int = 0  # articles at most; 0 takes all
     cache_size: int = 1024
     k1: float = 1.2
     b: float = 0.75

@@ -24,6 +24,16 @@ def frontier(candidates: DataFrame, max_depth: int = MAX_DEPTH, seen: DataFrame
     return first if seen is None else first.join(seen.select("url"), "url", "left_anti")
 
 
+def frontier_counts(accepted: DataFrame, taken: int) -> DataFrame:
+    """One row: addresses seen, how many wait after ``taken`` of them were handed out, and the depth of the next one.
+
+    Addresses are handed out in the order of (depth, seq), first in, first out.
+    """
+    placed = number_rows(accepted.select("depth", "seq"), ["depth"], ["seq"])
+    waits = F.col("row_no") >= taken
+    return placed.agg(F.count(F.lit(1)).alias("seen"), F.count_if(waits).alias("waiting"), F.min(F.when(waits, F.col("depth"))).cast("long").alias("next_depth"))
+
+
 def crawl(
     pages: DataFrame, links: DataFrame, seeds: DataFrame, max_pages: int = MAX_PAGES, max_depth: int = MAX_DEPTH, thin: int = THIN
 ) -> tuple[DataFrame, dict[str, int]]:
@@ -34,13 +44,14 @@ def crawl(
     One join per depth; each level is written, so lineage and driver hold nothing that grows.
     """
     spark = pages.sparkSession
+    kind = F.when(F.col("text").isNull(), "failed").when(F.length("text") < thin, "thin").otherwise("indexed")
+    known = write_stage(pages.select("id", kind.alias("outcome")), "pages")  # texts are read once, and move nowhere
     level = seeds.groupBy("id").agg(F.min("seq").alias("seq"))
     visited, seen, indexed, discovered = None, None, 0, 0
     for depth in range(max_depth + 1):
         ordered = number_rows(level, ["seq"], ["id"]).select("id", F.col("row_no").alias("n"))
-        ordered = write_stage(ordered.join(pages.select("id", "text"), "id", "left").select(
-            "id", "n", F.when(F.col("text").isNull(), "failed").when(F.length("text") < thin, "thin").otherwise("indexed").alias("outcome")
-        ), "level")
+        ordered = ordered.join(known, "id", "left").select("id", "n", F.coalesce("outcome", F.lit("failed")).alias("outcome"))
+        ordered = write_stage(ordered, "level")
         size = ordered.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("outcome") == "indexed").alias("good")).first()
         if not size["all"]:
             break

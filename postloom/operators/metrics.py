@@ -47,14 +47,16 @@ def heaps(growth: DataFrame) -> DataFrame:
 def zipf_workload(items: DataFrame, item: str, draws: int = 2000, most: int = 200, seed: int = 42) -> DataFrame:
     """(n, item): draws from the ``most`` items of the smallest hash, the r-th with weight 1 / r.
 
-    The draws depend on the seed only, not on partitions. At most ``most`` items are weighed.
+    The draws depend on the seed only, not on partitions. At most ``most`` items are weighed. Hashes are MD5 of the seed
+    and the item or the number of the draw, of which 52 bits make a uniform number.
     """
-    few = items.select(F.col(item).alias("item")).distinct().orderBy(F.xxhash64("item", F.lit(seed)), "item").limit(most)
-    w = Window.orderBy(F.xxhash64("item", F.lit(seed)), "item")
+    place = F.md5(F.concat_ws("#", F.lit(str(seed)), "item"))
+    few = items.select(F.col(item).cast("string").alias("item")).distinct().orderBy(place, "item").limit(most)
+    w = Window.orderBy(place, "item")
     ranked = few.withColumn("r", F.row_number().over(w)).withColumn("hi", F.sum(1 / F.col("r")).over(w))
     arcs = ranked.select("item", "hi", (F.col("hi") - 1 / F.col("r")).alias("lo"), F.max("hi").over(Window.partitionBy()).alias("all"))
     spark = items.sparkSession
-    uniform = F.pmod(F.xxhash64("n", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    uniform = F.conv(F.substring(F.md5(F.concat_ws("#", F.lit(str(seed)), F.col("n").cast("string"))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
     drawn = spark.range(draws).select(F.col("id").alias("n")).withColumn("u", uniform)
     got = drawn.join(F.broadcast(arcs), (F.col("u") * F.col("all") >= F.col("lo")) & (F.col("u") * F.col("all") < F.col("hi")))
     return got.select("n", "item")

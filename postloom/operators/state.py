@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -21,35 +22,56 @@ def lru_replay(log: DataFrame, order: list[str], key: str, capacity: int, chunk_
 
     The log is cut into chunks of equal size. What the cache holds after a chunk depends only on the last
     ``capacity`` distinct keys, so each chunk lists its own, the lists are merged in order, which gives the
-    cache at the start of every chunk, and the chunks are then replayed side by side.
+    cache at the start of every chunk, and the chunks are then replayed side by side. Lists are merged in two
+    levels: those of runs of chunks in one task, those within each run side by side, so no task merges more
+    than about the square root of all lists.
     """
     if capacity < 1:
         raise ValueError("a cache holds at least one entry")
     rows = number_rows(log, order[:1], order[1:] or order[:1], [key]).select("row_no", F.col(key).cast("string").alias("key"))
     rows = write_stage(rows.withColumn("chunk", F.floor(F.col("row_no") / chunk_rows)), "lru")
-    recent = Window.partitionBy("chunk").orderBy(F.col("at").desc())
-    lists = rows.groupBy("chunk", "key").agg(F.max("row_no").alias("at")).withColumn("r", F.row_number().over(recent)).filter(F.col("r") <= capacity)
+    run = max(1, math.isqrt(-(-rows.count() // chunk_rows)))  # chunks of a run
+
+    def latest(of: DataFrame, part: str) -> DataFrame:
+        """Of each part, the last ``capacity`` distinct keys."""
+        last = of.groupBy(part, "key").agg(F.max("at").alias("at"))
+        recent = Window.partitionBy(part).orderBy(F.col("at").desc())
+        return last.withColumn("r", F.row_number().over(recent)).filter(F.col("r") <= capacity).select(part, "key", "at")
+
+    lists = write_stage(latest(rows.select("chunk", "key", F.col("row_no").alias("at")), "chunk"), "lists")
+    lists = lists.withColumn("run", F.floor(F.col("chunk") / run))
+    runs = latest(lists, "run")
 
     def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: OrderedDict = OrderedDict()
-        now = None
+        now, group = None, None
 
         def state() -> pd.DataFrame:
-            return pd.DataFrame({"chunk": now, "key": list(held), "age": range(len(held))})
+            return pd.DataFrame({"part": now, "key": list(held), "age": range(len(held))})
 
         for b in batches:
-            for chunk, k in zip(b["chunk"], b["key"], strict=True):
-                if chunk != now:
-                    now = chunk
-                    if held:
+            for g, part, k in zip(b["g"], b["part"], b["key"], strict=True):
+                if g != group:
+                    held.clear()
+                    now, group = None, g
+                if part != now:
+                    now = part
+                    if held and part >= 0:
                         yield state()
                 held.pop(k, None)
                 held[k] = None
                 if len(held) > capacity:
                     held.popitem(last=False)
 
-    # one list of at most ``capacity`` keys per chunk passes through one task, in order
-    at_start = lists.select("chunk", "key", "at").coalesce(1).sortWithinPartitions("chunk", "at").mapInPandas(carry, "chunk long, key string, age int")
+    # one list of at most ``capacity`` keys per run passes through one task, in order
+    merged = runs.select(F.lit(0).alias("g"), F.col("run").alias("part"), "key", "at").coalesce(1).sortWithinPartitions("part", "at")
+    begin = merged.mapInPandas(carry, "part long, key string, age int")
+    # within a run, the lists follow what the cache held before it
+    inside = lists.select(F.col("run").alias("g"), F.col("chunk").alias("part"), "key", "at").unionByName(
+        begin.select(F.col("part").alias("g"), F.lit(-1).cast("long").alias("part"), "key", F.col("age").cast("long").alias("at"))
+    )
+    inside = inside.repartition("g").sortWithinPartitions("g", "part", "at").mapInPandas(carry, "part long, key string, age int")
+    at_start = inside.withColumnRenamed("part", "chunk")
 
     def replay(chunk: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         cache = OrderedDict.fromkeys(start.sort_values("age")["key"])
@@ -136,3 +158,9 @@ def breaker_replay(log: DataFrame, threshold: int = 3, cooldown: float = 10.0) -
 
     kinds = {f.name: f.dataType.simpleString() for f in ordered.schema}
     return ordered.mapInArrow(fold, f"shard {kinds['shard']}, seq {kinds['seq']}, op string, allowed boolean, state string, fails int")
+
+
+def breaker_stats(replayed: DataFrame) -> DataFrame:
+    """(shard, state, fails) after the last event of each shard of a replayed log."""
+    last = replayed.groupBy("shard").agg(F.max_by(F.struct("state", "fails"), "seq").alias("x"))
+    return last.select("shard", "x.state", "x.fails")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from postloom.functions.analyze import KEEP_DOUBLE, MAX_LENGTH, MIN_STEM, STOPWORDS, SUFFIXES, expanding_class, fold_tables
-from postloom.plans.core_queries import CALLS, KEYS, PROBES, QUERY, RESPONSES, SHARDS
+from postloom.plans.core_queries import CALLS, KEYS, PAGES, PROBES, QUERY, RESPONSES, SHARDS
 
 SQL: dict[str, str] = {}
 
@@ -151,6 +151,10 @@ SQL["index_write_stats"] = _SIZES + """ SELECT count(*) AS terms, CAST(sum(nbyte
 SQL["ondisk_equals_memory"] = _TOKENS + """ SELECT 'postings' AS part, count(*) AS stored, 0 AS different FROM post
 UNION ALL SELECT 'documents', count(*), 0 FROM documents UNION ALL SELECT 'hits', 10, 0"""
 
+SQL["open_or_build"] = _TOKENS + """ SELECT turn, CAST(1 AS BIGINT) AS built, n, (SELECT count(*) FROM df) AS vocabulary, (SELECT count(*) FROM post) AS postings
+FROM st, (SELECT unnest([1::BIGINT, 2::BIGINT]) AS turn)"""
+SQL["engine_search"] = SQL["search_response"].replace("round(score, 4) AS score\n", "round(score, 4) AS score, (SELECT count(*) FROM sc) AS total_hits, 1::BIGINT AS cache_hits, (SELECT count(*) FROM df) AS vocabulary\n")
+
 # ---- wiki source -------------------------------------------------------------------------------------
 
 
@@ -170,6 +174,8 @@ _WEB = "(SELECT * FROM stream_articles QUALIFY row_number() OVER (PARTITION BY p
 SQL["wiki_clean"] = f"SELECT DISTINCT page_id, {_clean('text')} AS text FROM stream_articles WHERE text IS NOT NULL"
 SQL["wiki_articles"] = f"""SELECT * FROM (SELECT page_id AS id, coalesce(title, '') AS title, {_clean('text')} AS text FROM {_WEB} WHERE ns = 0 AND text <> '')
 WHERE length(text) > 500"""
+SQL["article_corpus"] = f"""SELECT row_number() OVER (ORDER BY id) AS doc_id, title, CAST(length(text) AS BIGINT) AS length,
+  'https://simple.wikipedia.org/wiki/' || replace(url_encode(replace(title, ' ', '_')), '%2F', '/') AS url FROM ({SQL["wiki_articles"]})"""
 SQL["article_url"] = """SELECT DISTINCT page_id, 'https://simple.wikipedia.org/wiki/' || replace(url_encode(replace(title, ' ', '_')), '%2F', '/') AS url
 FROM stream_articles WHERE title IS NOT NULL"""
 
@@ -180,6 +186,8 @@ _CANON = "regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '\\?utm
 SQL["canonical_urls"] = f"SELECT DISTINCT doc_id, {_CANON} AS url FROM indexed_docs WHERE url IS NOT NULL"
 SQL["frontier_dedup"] = f"""WITH o AS (SELECT url, min(doc_id) AS seq FROM indexed_docs WHERE url IS NOT NULL GROUP BY url)
 SELECT {_CANON} AS url, min(seq) AS seq, min_by(seq % 5, seq) AS depth FROM o WHERE seq % 5 <= 3 GROUP BY {_CANON}"""
+SQL["frontier_counts"] = f"""SELECT count(*) AS seen, count(*) FILTER (n > 100) AS waiting, min(depth) FILTER (n > 100) AS next_depth
+FROM (SELECT depth, row_number() OVER (ORDER BY depth, seq) AS n FROM ({SQL["frontier_dedup"]}))"""
 SQL["thin_page_filter"] = f"SELECT page_id AS id FROM {_WEB} WHERE length(text) >= 200"
 _BFS = f"""WITH RECURSIVE web AS (SELECT page_id AS id, text FROM {_WEB}), m AS (SELECT max(id) AS n FROM web),
 edge AS (SELECT id AS src, i AS pos, (7 * id + i) % n AS dst FROM web, m, (SELECT unnest([1, 2, 3]) AS i)),
@@ -208,6 +216,8 @@ def _values(rows: object) -> str:
     return "VALUES " + ", ".join("(" + ", ".join(map(_value, r)) + ")" for r in rows)
 
 
+SQL["html_pages"] = f"SELECT * FROM ({_values([(i, title, text) for i, _, _, title, text, _ in PAGES])}) p(id, title, text)"
+SQL["html_links"] = f"SELECT * FROM ({_values([(i, n, x) for i, *_, links in PAGES for n, x in enumerate(links)])}) p(id, pos, link)"
 SQL["fetch_gate"] = f"""SELECT id, CASE WHEN status IS NULL THEN 'failed' WHEN status <> 200 THEN 'status'
   WHEN lower(trim(split_part(coalesce(kind, ''), ';', 1))) NOT IN ('text/html', 'application/xhtml+xml') THEN 'type'
   WHEN nbytes > 10485760 THEN 'size' ELSE 'ok' END AS verdict FROM ({_values(RESPONSES)}) r(id, status, kind, nbytes)"""
@@ -297,6 +307,7 @@ f(shard, k, seq, state, fails) AS (
   SELECT e.shard, e.k, e.seq, CASE WHEN NOT bad THEN 'closed' WHEN f.fails + 1 >= 2 THEN 'open' ELSE f.state END, CASE WHEN bad THEN f.fails + 1 ELSE 0 END
   FROM f JOIN e ON e.shard = f.shard AND e.k = f.k + 1)
 SELECT shard, seq, state, fails FROM f"""
+SQL["breaker_stats"] = SQL["breaker_replay"].replace("SELECT shard, seq, state, fails FROM f", "SELECT shard, state, fails FROM f QUALIFY row_number() OVER (PARTITION BY shard ORDER BY seq DESC) = 1")
 SQL["breaker_scatter"] = _LOG + """
 f(shard, k, seq, allowed, state, fails, opened) AS (
   SELECT shard, k, seq, true, 'closed', CAST(bad AS BIGINT), 0.0::DOUBLE FROM e WHERE k = 1
@@ -317,3 +328,11 @@ grown AS (SELECT CAST(ceil((b + 1) * any_value(n) / 4) AS BIGINT) AS documents,
 """
 SQL["vocabulary_growth"] = _GROWTH + "SELECT documents, vocabulary FROM grown"
 SQL["heaps_law"] = _GROWTH + "SELECT round(exp(regr_intercept(ln(vocabulary), ln(documents))), 6) AS k, round(regr_slope(ln(vocabulary), ln(documents)), 6) AS b FROM grown"
+
+# the items of the smallest hashes, the r-th with weight 1 / r; a draw falls into the first whose running weight exceeds it
+_SHARE = "CAST(('0x' || left(md5('42#' || n), 13)) AS BIGINT) / 4503599627370496.0::DOUBLE"
+SQL["zipf_workload"] = f"""WITH t AS (SELECT DISTINCT split_part(coalesce(text, ''), chr(10), 1) AS item FROM documents),
+f AS (SELECT item, row_number() OVER (ORDER BY md5('42#' || item), item) AS r FROM t WHERE item <> '' QUALIFY r <= 200),
+w AS (SELECT item, r, sum(1 / r) OVER (ORDER BY r) AS hi, sum(1 / r) OVER () AS total FROM f),
+d AS (SELECT n, {_SHARE} AS u FROM (SELECT unnest(range(2000)) AS n))
+SELECT n, arg_min(item, r) AS item FROM d JOIN w ON u * total < hi GROUP BY n"""

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postloom.api import Engine
+from postloom.conf import EngineConf
 from postloom.functions import analyze, codec, urls
 from postloom.operators import crawl, index, metrics, rank, shard, skew, state, storage
 from postloom.session import shared_dir, write_stage
@@ -62,6 +64,16 @@ RESPONSES = (
     (5, 200, "text/html", 10 * 1024 * 1024), (6, 200, "text/html", 10 * 1024 * 1024 + 1), (7, None, None, None), (8, 200, None, 7),
 )
 CALLS = ((1, "shard-0", 0.05), (1, "shard-1", 3.3), (1, "shard-2", 0.2), (2, "shard-0", 3.2), (2, "shard-1", 0.1), (2, "shard-2", None))
+# pages as they come from the web, and their title, text and links as read off them by hand
+PAGES = (
+    (1, "https://a.example/x/y", "<html><head><title> River &amp; Mill </title><style>p{}</style></head><body><h1>Hi</h1><p>one <b>two</b></p></body></html>", "River & Mill", "River & Mill Hi one two", ()),
+    (2, "https://a.example/x/y", "<p>a<a href='z'>b</a><a href=\"/q?r=1#s\">c</a><a href='//b.example/d'>d</a><a href='#top'>t</a><a href='mailto:a@b'>m</a></p>", "", "a b c d t m", ("https://a.example/x/z", "https://a.example/q?r=1#s", "https://b.example/d")),
+    (3, "https://a.example/", "x<script>var a = '<p>no</p>';</script>y<noscript>n<p>o</p></noscript><svg><title>s</title></svg>z", "", "x y z", ()),
+    (4, "https://a.example/", "<title>first</title><title>second</title><p>caf&eacute; &#8212; &lt;b&gt;", "first", "first second caf\u00e9 \u2014 <b>", ()),
+    (5, "https://a.example/d/", "<ul><li>one<li>two<br>three</ul><a>no address</a><a href=''>self</a><a href='../up'>up</a>", "", "one two three no address self up", ("https://a.example/d/", "https://a.example/up")),
+    (6, "https://a.example/", "", "", "", ()),
+    (7, "https://a.example/", "<!-- <p>hidden</p> --><p>shown</p><a href='javascript:f()'>j</a><a href='HTTP://C.example/E'>k</a>", "", "shown j k", ("HTTP://C.example/E",)),
+)
 KEYS = ("  Solar   System ", "solar system", "Caf\u00e9", "cafe", "", "A\u3000B\tc")
 
 
@@ -293,6 +305,33 @@ def ondisk_equals_memory(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query
+def open_or_build(spark: SparkSession, d: str) -> DataFrame:
+    """Asked twice for an index at one place: the first time it is built and stored, the second time it is only opened."""
+    path, out, built = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", None, []
+
+    def build() -> index.Index:
+        built.append(1)
+        return _index(spark, d)
+
+    for turn in (1, 2):
+        i = storage.open_or_build(spark, path, build)
+        one = i.stats.crossJoin(i.df.agg(F.count(F.lit(1)).alias("vocabulary"), F.sum("df").alias("postings")))
+        one = one.select(F.lit(turn).cast("long").alias("turn"), F.lit(len(built)).cast("long").alias("built"), "n", "vocabulary", "postings")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def engine_search(spark: SparkSession, d: str) -> DataFrame:
+    """The engine asked twice for the same: the second answer comes from its cache."""
+    engine = Engine(spark, _index(spark, d))
+    engine.search(QUERY)
+    got, stats = engine.search(QUERY), engine.stats()
+    rows = [(n, r["doc_id"], r["title"], r["url"], r["score"], got["total_hits"], stats["cache"]["hits"], stats["vocabulary_size"]) for n, r in enumerate(got["results"], 1)]
+    return spark.createDataFrame(rows, "rank long, doc_id long, title string, url string, score double, total_hits long, cache_hits long, vocabulary long")
+
+
 # ---- wiki source -------------------------------------------------------------------------------------
 
 
@@ -309,6 +348,13 @@ def wiki_articles(spark: SparkSession, d: str) -> DataFrame:
     return wiki.articles(wiki.read_dump(spark, path))
 
 
+@query
+def article_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The articles as an index takes them: numbered from 1 in the order of the dump."""
+    got = wiki.numbered(wiki.articles(_web(spark, d).withColumn("ns", F.col("ns").cast("string"))))
+    return got.select("doc_id", "title", urls.article_url(F.col("title")).alias("url"), F.length("text").cast("long").alias("length"))
+
+
 @query
 def article_url(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "stream_articles").filter("title is not null").select("page_id", urls.article_url(F.col("title")).alias("url")).distinct()
@@ -350,6 +396,30 @@ def crawl_stats(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([tuple(counters.values())], ", ".join(f"{k} long" for k in counters))
 
 
+@query
+def frontier_counts(spark: SparkSession, d: str) -> DataFrame:
+    """After a hundred addresses were handed out."""
+    offered = table(spark, d, "indexed_docs").filter("url is not null").groupBy("url").agg(F.min("doc_id").alias("seq"))
+    accepted = crawl.frontier(offered.select("url", (F.col("seq") % 5).cast("int").alias("depth"), "seq"))
+    return crawl.frontier_counts(accepted, 100)
+
+
+def _html(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([(i, base, text) for i, base, text, *_ in PAGES], "id long, url string, html string")
+    return rows.select("id", pages.parsed("html", "url").alias("p")).select("id", "p.*")
+
+
+@query
+def html_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with known parts: nested skipped elements, references, several titles, unclosed tags, void elements."""
+    return _html(spark).select("id", "title", "text")
+
+
+@query
+def html_links(spark: SparkSession, d: str) -> DataFrame:
+    return _html(spark).select("id", F.posexplode("links").alias("pos", "link")).select("id", F.col("pos").cast("long").alias("pos"), "link")
+
+
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
     web = _web(spark, d).withColumn("url", urls.article_url(F.coalesce("title", F.lit("untitled"))))
     return web.select("id", "url", pages.parsed("text", "url").alias("p")).select("id", "url", "p.*")
@@ -497,7 +567,7 @@ def degraded_search(spark: SparkSession, d: str) -> DataFrame:
 def scatter_timeouts(spark: SparkSession, d: str) -> DataFrame:
     """A shard that takes longer than connecting, reading and one second more has failed."""
     calls = spark.createDataFrame(list(CALLS), "request long, shard string, seconds double")
-    failed = F.coalesce(F.col("seconds") > 3.2, F.lit(True))
+    failed = F.coalesce(F.col("seconds") > round(EngineConf().budget, 9), F.lit(True))
     return calls.groupBy("request").agg(F.count_if(~failed).alias("answered"), F.array_join(F.sort_array(F.collect_list(F.when(failed, F.col("shard")))), ",").alias("shards_failed"))
 
 
@@ -534,6 +604,13 @@ def breaker_replay(spark: SparkSession, d: str) -> DataFrame:
     return got.select("shard", "seq", "state", F.col("fails").cast("long").alias("fails"))
 
 
+@query
+def breaker_stats(spark: SparkSession, d: str) -> DataFrame:
+    """The state of each shard's breaker in the end."""
+    got = state.breaker_stats(state.breaker_replay(_breaker_log(spark, d, ""), 2, 600.0))
+    return got.select("shard", "state", F.col("fails").cast("long").alias("fails"))
+
+
 @query
 def breaker_scatter(spark: SparkSession, d: str) -> DataFrame:
     """Guarded calls: what the breaker holds back has no outcome."""

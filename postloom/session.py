@@ -107,20 +107,28 @@ def default_partitions(spark: SparkSession) -> int:
 
 
 PARTITION_BYTES = 128 << 20
+SPREAD_BYTES = 1 << 30
 _MOST_PARTITIONS = 1 << 16
 
 
 def sized_partitions(df: DataFrame) -> int:
     """Partitions for a shuffle whose number can't adapt at run time: by the size that the optimizer estimates."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(default_partitions(df.sparkSession), min(_MOST_PARTITIONS, -(-size // PARTITION_BYTES)))
+    return max(default_partitions(df.sparkSession), min(_MOST_PARTITIONS, -(-estimated_bytes(df) // PARTITION_BYTES)))
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """What the optimizer takes the size of a table to be."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer partitions than there are cores, as one small file gives, spread over all cores.
+    """A small table of fewer partitions than there are cores, as one file gives, spread over all cores.
 
-    A table that already has enough partitions stays as it is, so nothing is shuffled at scale.
+    A table that has enough partitions, or is estimated at more than 1 GB, stays as it is, so no corpus is shuffled:
+    ``spark.sql.files.maxPartitionBytes`` and ``minPartitionNum`` decide how its scan is split.
     """
     ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    if estimated_bytes(df) > SPREAD_BYTES or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)

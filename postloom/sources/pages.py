@@ -111,8 +111,11 @@ def _may_fetch(urls: pd.Series, rules: pd.Series) -> pd.Series:
 
 
 def allowed(urls: DataFrame, robots: DataFrame) -> DataFrame:
-    """``urls`` (url) with ``host`` and ``allowed``; a host without rules (host, robots_txt) allows all."""
+    """``urls`` (url) with ``host`` and ``allowed``; a host without rules (host, robots_txt) allows all.
+
+    A host is named as in its addresses, with its port if they state one: each port has rules of its own.
+    """
     from postloom.operators.skew import lookup_join
 
-    hosts = urls.withColumn("host", F.expr("try_parse_url(url, 'HOST')"))
+    hosts = urls.withColumn("host", F.expr("try_parse_url(url, 'AUTHORITY')"))
     return lookup_join(hosts, robots, ["host"]).withColumn("allowed", _may_fetch("url", "robots_txt")).drop("robots_txt")

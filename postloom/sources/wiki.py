@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from postloom.operators.skew import number_rows
+
 LEAST = 500  # articles must be longer than this after cleaning
 _PAGE = StructType(
     [
@@ -38,6 +40,11 @@ def articles(pages: DataFrame, limit: int | None = None) -> DataFrame:
     return got.orderBy("id").limit(limit) if limit else got
 
 
+def numbered(found: DataFrame) -> DataFrame:
+    """(doc_id, title, text) of articles (id, title, text): numbered from 1 in the order of the dump, that of page ids."""
+    return number_rows(found, ["id"], [], ["title", "text"]).select((F.col("row_no") + 1).alias("doc_id"), "title", "text")
+
+
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
     """(id, title, ns, text) of a MediaWiki XML dump, plain or compressed by bzip2."""
     raw = spark.read.format("xml").option("rowTag", "page").schema(_PAGE).load(path)

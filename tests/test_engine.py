@@ -310,3 +310,33 @@ def test_merging_lists_equals_a_heap(spark):
     got = shard.scatter_gather(Index(docs, post, spark.createDataFrame([("w", 60)], "term string, df long"), stats), spark.createDataFrame([(1, "w")], "query_id int, query string"), 8)
     want = list(heapq.merge(*([(sc, d, s) for sc, d in rows[:8]] for s, rows in lists.items()), reverse=True))[:8]
     assert [(x.doc_id, x.shard) for x in got.orderBy("rank").collect()] == [(d, s) for _, d, s in want]
+
+
+@pytest.mark.parametrize("capacity,chunk", [(1, 3), (4, 1), (7, 10), (50, 13), (300, 8)])
+def test_lru_carry_in_two_levels(spark, capacity, chunk):
+    r = random.Random(capacity)
+    log = [(i, f"k{min(r.randrange(120), r.randrange(120))}") for i in range(900)]
+    cache, want = OrderedDict(), []
+    for _, k in log:
+        want.append(k in cache)
+        cache[k] = None
+        cache.move_to_end(k)
+        if len(cache) > capacity:
+            cache.popitem(last=False)
+    got = state.lru_replay(spark.createDataFrame(log, "t long, key string"), ["t"], "key", capacity, chunk).orderBy("row_no").collect()
+    assert [x.hit for x in got] == want
+
+
+def test_robots_by_port_and_article_numbers(spark):
+    urls = spark.createDataFrame([("https://a:8080/p/x",), ("https://a/p/x",)], "url string")
+    robots = spark.createDataFrame([("a:8080", "User-agent: *\nDisallow: /p/\n")], "host string, robots_txt string")
+    assert {r.url: r.allowed for r in pages.allowed(urls, robots).collect()} == {"https://a:8080/p/x": False, "https://a/p/x": True}
+    found = spark.createDataFrame([(7, "b", "y"), (3, "a", "x"), (90, "c", "z")], "id long, title string, text string")
+    assert {(r.doc_id, r.title) for r in wiki.numbered(found).collect()} == {(1, "a"), (2, "b"), (3, "c")}
+
+
+def test_coordinator_stats(spark, engine):
+    log = [("shard-0", i, float(i), "call:failure") for i in range(4)] + [("shard-1", 1, 0.0, "call:failure"), ("shard-1", 2, 1.0, "call:success")]
+    got = engine.coordinator_stats(spark.createDataFrame(log, "shard string, seq long, ts double, op string"))
+    assert got["shards"] == ["shard-0", "shard-1", "shard-2"] and got["breakers"]["shard-0"] == {"state": "open", "consecutive_failures": 3}
+    assert got["breakers"]["shard-1"] == got["breakers"]["shard-2"] == {"state": "closed", "consecutive_failures": 0}
