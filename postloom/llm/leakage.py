@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postloom.llm.segments import PIECE, WORD_FLAG, Tables, codes_of
 from postloom.operators.skew import lookup_join
 from postloom.session import spread, write_stage
 
@@ -28,7 +29,6 @@ _OUTER = 1 << 22  # pairs of positions from which diagonals are listed one by on
 MASKS_12 = ("110100110111", "111011001011", "101011010101", "101110100011", "110001101101", "100101011011", "111010011001")
 _WORD = re.compile(r"[^\W_]+")
 _MISS = -2  # what a replaced word costs a stretch; an equal one gives 1
-_KEPT_WORDS = 1 << 20
 
 
 def words(text: str | None) -> list[str]:
@@ -105,19 +105,38 @@ def seeds(h: np.ndarray, mask: np.ndarray, width: int, salt: int) -> np.ndarray:
     return Windows(h).seeds(mask, width, salt)
 
 
-class _Hasher:
-    def __init__(self):
-        self.known: dict[str, int] = {}
-
-    def __call__(self, tokens: Sequence[str]) -> np.ndarray:
-        import xxhash
-
-        if len(self.known) > _KEPT_WORDS:
-            self.known = {}
-        for t in tokens:
-            if t not in self.known:
-                self.known[t] = xxhash.xxh64_intdigest(t)
-        return np.fromiter((self.known[t] for t in tokens), np.uint64, len(tokens))
+def hashed(texts: Sequence[str | None]) -> list[np.ndarray]:
+    """The hashes of the words of each text, in order; both small sigmas are one letter."""
+    tables = _shared_tables()
+    codes, begin = codes_of([t or "" for t in texts])
+    found, places, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(codes):  # pieces that end between words
+        to = at + PIECE
+        while to < len(codes):
+            ends = np.flatnonzero((tables.read(codes[to : to + 4096]) & WORD_FLAG) == 0)
+            to += int(ends[0]) if len(ends) else 4096
+            if len(ends):
+                break
+        part = codes[at:to]
+        word = (tables.read(part) & WORD_FLAG) != 0
+        edge = np.diff(word.astype(np.int8), prepend=0, append=0)
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        low = tables.lower[part]
+        low[low == ord("ς")] = ord("σ")
+        found.append(_mix(tables.word_hashes(low, starts, ends)))
+        places.append(starts + at)
+        at = to
+    cuts = np.searchsorted(np.concatenate(places), begin[1:])
+    return np.split(np.concatenate(found), cuts) if len(texts) else []
+
+
+_tables: list[Tables] = []
+
+
+def _shared_tables() -> Tables:
+    if not _tables:
+        _tables.append(Tables())
+    return _tables[0]
 
 
 def all_seeds(h: np.ndarray, span: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -172,8 +191,7 @@ def diagonals(pairs: Sequence[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 def search(texts: Sequence[str | None], items: Sequence[tuple[int, str]], least: int = WORDS) -> list[tuple[int, int, int, int, int]]:
     """(text number, item, longest equal run, words of the best stretch, replaced words in it), without tables."""
-    hasher = _Hasher()
-    docs, own = [hasher(words(t)) for t in texts], {i: hasher(words(t)) for i, t in items}
+    docs, own = hashed(texts), dict(zip([i for i, _ in items], hashed([t for _, t in items]), strict=True))
     out = []
     for i, item in own.items():
         span = min(least, len(item))
@@ -236,10 +254,9 @@ def leaked(
     item_type = to_arrow_type(items.schema[item_id].dataType)
 
     def sow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _Hasher()
         for b in batches:
             for k in range(b.num_rows):
-                h = hasher(words(b.column(1)[k].as_py()))
+                (h,) = hashed([b.column(1)[k].as_py()])
                 if not len(h):
                     continue
                 span, no = min(least, len(h)), b.column(2)[k].as_py()
@@ -268,15 +285,15 @@ def leaked(
     known = spark.sparkContext.broadcast(Bloom(bits, table, n_seeds))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen = _Hasher(), known.value
+        seen = known.value
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                hashed = [hasher(words(t)) for t in part.column(1).to_pylist()]
-                ends = np.cumsum([len(h) + 1 for h in hashed])
+                texts = hashed(part.column(1).to_pylist())
+                ends = np.cumsum([len(h) + 1 for h in texts])
                 # the texts in one array, set apart by numbers that no word has at that place
-                apart = _mix(np.arange(1, len(hashed) + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-                flat = np.concatenate([x for h, a in zip(hashed, apart, strict=True) for x in (h, np.full(1, a, np.uint64))])
+                apart = _mix(np.arange(1, len(texts) + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+                flat = np.concatenate([x for h, a in zip(texts, apart, strict=True) for x in (h, np.full(1, a, np.uint64))])
                 found: dict[int, list[tuple[int, np.ndarray]]] = {}
                 every = Windows(flat)
                 for span in forms:
@@ -288,15 +305,15 @@ def leaked(
                         hit, doc = hit[inside], doc[inside]
                         for d in np.unique(doc).tolist():
                             where = hit[doc == d]
-                            start = ends[d] - len(hashed[d]) - 1
+                            start = ends[d] - len(texts[d]) - 1
                             found.setdefault(d, []).extend((x, where[p] - start) for x, p in grouped(s[where]))
                 if found:
                     rows = sorted(found)
                     ids = part.column(0).take(pa.array(rows))
-                    uid = [int.from_bytes(hashlib.blake2b(repr(i.as_py()).encode() + hashed[d].tobytes(), digest_size=8).digest(), signed=True) for i, d in zip(ids, rows, strict=True)]
+                    uid = [int.from_bytes(hashlib.blake2b(repr(i.as_py()).encode() + texts[d].tobytes(), digest_size=8).digest(), signed=True) for i, d in zip(ids, rows, strict=True)]
                     hits = [[{"s": x, "pos": p} for x, p in found[d]] for d in rows]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(uid, pa.int64()), ids, pa.array([hashed[d].tobytes() for d in rows], pa.binary()), pa.array(hits, pa.list_(pa.struct([("s", pa.int64()), ("pos", pa.list_(pa.int32()))])))],
+                        [pa.array(uid, pa.int64()), ids, pa.array([texts[d].tobytes() for d in rows], pa.binary()), pa.array(hits, pa.list_(pa.struct([("s", pa.int64()), ("pos", pa.list_(pa.int32()))])))],
                         ["uid", "d", "words", "hits"],
                     )
 

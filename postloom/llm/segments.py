@@ -28,6 +28,7 @@ PIECE = 1 << 20  # characters whose statistics are taken at once, but for a long
 _ALPHA, _DIGIT, _SPACE, _WORD, _UPPER, _END, _CLOSER, _SEP, _DASH, _KANA, _PARTICLE, _HANGUL, _BROKEN, _LEAD, _TAIL, _DECIMAL, _CJK_END, _CJK_CLOSER, _MARK, _KOREAN = (
     1 << i for i in range(20)
 )
+WORD_FLAG = _WORD
 _UNKNOWN = np.uint32(1 << 31)
 # Characters of each kind beside what Unicode says of them.
 _SETS = {
@@ -78,6 +79,13 @@ class Tables:
                 self.inverses = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _INVERSE)]), dtype=np.uint64)
         return self.powers, self.inverses
 
+    def word_hashes(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A hash of each word of some lower case code points."""
+        powers, inverses = self.up_to(len(low) + 1)
+        total = np.zeros(len(low) + 1, np.uint64)
+        np.cumsum(low * powers[: len(low)], out=total[1:])
+        return (total[ends] - total[starts]) * inverses[starts]
+
 
 def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The code points of some texts, a line break after each, and where each text starts."""
@@ -145,10 +153,7 @@ def measures(codes: np.ndarray, flags: np.ndarray, starts: np.ndarray, ends: np.
     pure = _counts(alpha, ts, te) == size
     ts, te, inside, size = ts[pure], te[pure], inside[pure], size[pure]
     found = np.bincount(inside, minlength=n)
-    powers, inverses = tables.up_to(len(codes) + 1)
-    total = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(tables.lower[codes] * powers[: len(codes)], out=total[1:])
-    hashed = (total[te] - total[ts]) * inverses[ts]
+    hashed = tables.word_hashes(tables.lower[codes], ts, te)
     at = np.minimum(np.searchsorted(tables.common, hashed), len(tables.common) - 1)
     known = tables.common[at] == hashed
     if has(_HANGUL).any():

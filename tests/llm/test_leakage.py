@@ -159,3 +159,16 @@ def test_seeds_see_the_words_that_count():
     other[[11, 14]] = 7  # places 1 and 4 of the window at 10
     two = leakage.seeds(other, mask, 6, 3)
     assert two[10] == one[10] and two[9] != one[9] and leakage.seeds(h, mask, 6, 4)[10] != one[10]
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 16])
+def test_words_are_hashed_as_they_are_read(piece, monkeypatch):
+    monkeypatch.setattr(leakage, "PIECE", piece)
+    texts = ["One two_three, ONE!", None, "", "  ", "Straße x2 東京 東京", "ΟΔΟΣ οδος ὈΔΌΣ ὀδός", "a" * 100 + " b " + "a" * 100, "a\nb\n\nc", "é É e\u0301"]
+    got = leakage.hashed(texts)
+    assert len(got) == len(texts)
+    flat = [w for t in texts for w in leakage.words(t)]
+    codes = [x for h in got for x in h.tolist()]
+    assert [len(h) for h in got] == [len(leakage.words(t)) for t in texts]
+    same = lambda w: w.replace("ς", "σ")
+    assert all((same(a) == same(b)) == (x == y) for a, x in zip(flat, codes) for b, y in zip(flat, codes)) and leakage.hashed([]) == []
