@@ -41,6 +41,16 @@ w AS (SELECT o.build_id, o.doc_id, o.term, o.tf * ln(1 + (coalesce(n, 0) - df +
       FROM o JOIN s ON o.build_id = s.build_id AND o.term = s.term LEFT JOIN {_N} d ON o.build_id = d.build_id)
 SELECT build_id, doc_id, term FROM w QUALIFY row_number() OVER (PARTITION BY build_id, doc_id ORDER BY w DESC, term) = 1"""
 
+_STEP = """, e{k} AS (SELECT *, tf * 0.1 * p / (0.1 * p + 0.9 * bg) AS e FROM m{j}),
+m{k} AS (SELECT build_id, doc_id, term, tf, bg, e / sum(e) OVER (PARTITION BY build_id, doc_id) AS p FROM e{k})"""
+SQL["p6_steps"] = f"""
+WITH o AS (SELECT build_id, term, doc_id, CAST(coalesce(tf, 0) AS DOUBLE) AS tf FROM {_ONCE}),
+b AS (SELECT build_id, term, sum(tf) / sum(sum(tf)) OVER (PARTITION BY build_id) AS bg FROM o GROUP BY build_id, term),
+m0 AS (SELECT o.build_id, o.doc_id, o.term, tf, bg, tf / sum(tf) OVER (PARTITION BY o.build_id, o.doc_id) AS p
+       FROM o JOIN b ON o.build_id = b.build_id AND o.term = b.term)""" + "".join(_STEP.format(j=k - 1, k=k) for k in (1, 2, 3)) + """
+SELECT build_id, doc_id, term, round(p, 7) AS p FROM m3"""
+SQL["p7_decoded"] = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+
 # every run of 12 words of an item, or the whole of a shorter one, against the runs of that length of a document
 _LISTS = "list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda w: lower(w))"
 SQL["p8_found"] = f"""
@@ -53,6 +63,17 @@ dw AS (SELECT doc_id, n, array_to_string(w[k : k + n - 1], ' ') AS run
        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM s)))
 SELECT DISTINCT doc_id, item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.run = iw.run"""
 
+# equal words on one diagonal; a run is a stretch of them without a gap
+SQL["p8_runs"] = f"""
+WITH i AS (SELECT item_id, {_LISTS} AS w FROM benchmark WHERE text IS NOT NULL),
+iw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS ip FROM i),
+d AS (SELECT doc_id, {_LISTS} AS w FROM documents WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS dp FROM d),
+hit AS (SELECT doc_id, item_id, n, dp - ip AS diagonal, ip FROM dw JOIN iw ON dw.word = iw.word),
+run AS (SELECT doc_id, item_id, n, diagonal, ip - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY ip) AS island FROM hit),
+size AS (SELECT doc_id, item_id, n, count(*) AS size FROM run GROUP BY doc_id, item_id, n, diagonal, island)
+SELECT doc_id, item_id, n AS item_words, max(size) AS equal_run FROM size GROUP BY doc_id, item_id, n HAVING max(size) >= least(12, n)"""
+
 _COMMON = ", ".join(f"'{w}'" for w in sorted(COMMON_WORDS))
 SQL["p9_statistics"] = f"""
 WITH b AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{N}}]+') AS w,

@@ -104,6 +104,13 @@ def p6_method(spark: SparkSession, d: str) -> DataFrame:
     return distinctive.parsimonious(table(spark, d, "postings"))
 
 
+@query
+def p6_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The model after three steps, of every posting."""
+    got = distinctive.parsimonious(table(spark, d, "postings"), tolerance=0.0, iterations=3)
+    return got.select("build_id", "doc_id", "term", F.round("p", 7).alias("p"))
+
+
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return distinctive.best_terms(table(spark, d, "postings"), table(spark, d, "indexed_docs")).select("build_id", "doc_id", "term")
@@ -127,6 +134,12 @@ def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(back, "doc_id").join(sizes, "doc_id").select("doc_id", "tokens", (F.col("back") == F.col("text")).alias("same"))
 
 
+@query
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Every text, encoded and decoded again."""
+    return encode.decode_ids(encode.encode_texts(table(spark, d, "documents"))).select("doc_id", "text")
+
+
 # ---- 8: evaluation texts in training text --------------------------------------------------------
 
 
@@ -140,6 +153,13 @@ def p8_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+@query
+def p8_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The longest run of equal words of each leak."""
+    found = leakage.leaked(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return found.join(leakage.exact_leaks(found), ["doc_id", "item_id"], "left_semi").select("doc_id", "item_id", "item_words", "equal_run")
+
+
 # ---- 9: text quality -----------------------------------------------------------------------------
 
 
