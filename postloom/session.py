@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 _CONF = "spark.checkpoint.dir"
 _local: dict[str, str] = {}
 _shipped: set[str] = set()
+_written: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -90,15 +91,24 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
     ship(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(remove, spark, path)
+    if not _written:
+        atexit.register(clear_stages, spark)
+    _written.add(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._stage_path = path
     return kept
 
 
+def clear_stages(spark: SparkSession) -> None:
+    """Delete all stages written so far, for sessions that live long; results that were not read to the end are lost."""
+    while _written:
+        remove(spark, _written.pop())
+
+
 def drop_stage(df: DataFrame) -> None:
     """Delete a written stage that nothing will read again, as in loops that write one table a step."""
     if (path := getattr(df, "_stage_path", None)) is not None:
+        _written.discard(path)
         remove(df.sparkSession, path)
 
 

@@ -47,3 +47,14 @@ print(with_terms(spark.createDataFrame([("running shards",)], "text string")).fi
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "['run', 'shard']" in got.stdout, got.stderr[-2000:]
+
+
+def test_stages_can_be_cleared(spark):
+    kept, other = session.write_stage(spark.range(5), "a"), session.write_stage(spark.range(5), "b")
+    path = kept._stage_path.removeprefix("file://")
+    assert os.path.isdir(path)
+    session.drop_stage(kept)
+    assert not os.path.isdir(path) and other.count() == 5
+    session.clear_stages(spark)
+    assert not os.path.isdir(other._stage_path.removeprefix("file://"))
+    session.drop_stage(spark.range(3))  # a table that is no stage stays as it is
