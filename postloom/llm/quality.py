@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm.segments import COMMON_WORDS, FEATURES, N, Tables, text_statistics
-from postloom.session import spread, write_stage
+from postloom.session import drop_stage, spread, write_stage
 
 CLASSES = ("prose", "list", "table", "junk")
 # Inspected examples of the classes that the judged documents do not tell apart.
@@ -250,7 +250,9 @@ def fit_mixture(stats: DataFrame, components: int = 64, tolerance: float = 1e-5,
     """
     kept = write_stage(grid(stats), "grid")
     if kept.count() > one_task:
-        return em(lambda step, size: _total(kept, lambda b: step(*_cells(b)), size), components, tolerance, floor)
+        mix = em(lambda step, size: _total(kept, lambda b: step(*_cells(b)), size), components, tolerance, floor)
+        drop_stage(kept)
+        return mix
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [_cells(b) for b in batches if b.num_rows]
@@ -263,6 +265,7 @@ def fit_mixture(stats: DataFrame, components: int = 64, tolerance: float = 1e-5,
         yield pa.RecordBatch.from_arrays([pa.array([_pack(mix)] if mix else [], pa.list_(pa.float64()))], ["x"])
 
     found = kept.coalesce(1).sortWithinPartitions("cell").mapInArrow(fit, "x array<double>").collect()
+    drop_stage(kept)
     return _unpack(np.asarray(found[0].x)) if found else None
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from postloom.session import write_stage
+
 ROWS_PER_SUBGROUP = 200_000
 MOST_SPLIT_GROUPS = 10_000
 
@@ -22,16 +24,20 @@ def top_n(
     A group is split into ``ceil(rows / size)`` subgroups by a hash of the item, so all rows of an item
     meet in one subgroup; each keeps its ``n`` best, and the survivors are ranked again. ``size`` is
     ``rows_per_subgroup`` or a ``most_split``-th of all rows if that is more, so at most ``most_split``
-    groups have several subgroups, which bounds the broadcast table of their numbers. The rows are
-    shuffled once; the second shuffle carries survivors only.
+    groups have several subgroups, which bounds the broadcast table of their numbers. The rows of split
+    groups are first combined where they are read, so an item that is delivered very often does not
+    fill a subgroup. All other rows are shuffled once; the last shuffle carries survivors only.
     """
     rows = df.select(df[group].alias("g"), df[item].alias("i"), df[score].cast("double").alias("s"))
     rows = rows.filter(F.col("g").isNotNull() & F.col("i").isNotNull() & F.col("s").isNotNull() & ~F.isnan("s"))
     sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     size = F.greatest(F.lit(rows_per_subgroup), F.coalesce(sizes.agg(F.ceil(F.sum("n") / most_split)).scalar(), F.lit(0)))
     split = sizes.filter(F.col("n") > size).select("g", F.ceil(F.col("n") / size).alias("parts"))
-    salt = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("i"), F.col("parts"))).cast("int")
-    salted = rows.join(F.broadcast(split), "g", "left").select("g", salt.alias("salt"), "i", "s")
+    split = F.broadcast(write_stage(split, "split"))
+    # per task of the scan one row of an item is left before the shuffle; the task's number spreads them after it
+    large = rows.join(split, "g").groupBy("g", "i", "parts", F.spark_partition_id().alias("task")).agg(F.max("s").alias("s"))
+    large = large.select("g", F.pmod(F.xxhash64("i"), F.col("parts")).cast("int").alias("salt"), "i", "s")
+    salted = rows.join(split, "g", "left_anti").select("g", F.lit(0).alias("salt"), "i", "s").unionByName(large)
     # one exchange serves the dedup of items and the ranking within subgroups
     best = salted.repartition("g", "salt").groupBy("g", "salt", "i").agg(F.max("s").alias("s"))
     order = [F.col("s").desc(), F.col("i").asc()]

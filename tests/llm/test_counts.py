@@ -125,3 +125,15 @@ def test_em_goes_on_until_it_converges():
     once = distinctive.OWN * p
     e = tf * once / (once + (1 - distinctive.OWN) * bg)
     assert np.abs(e / e.sum() - p).max() <= distinctive.TOLERANCE
+
+
+def test_an_item_delivered_very_often(spark):
+    """Most rows are one item of one group: they are combined before the shuffle, and the result is as ever."""
+    df = spark.range(0, 30_000, 1, 8).selectExpr("if(id % 10 < 9, 1, id % 7) as g", "if(id % 10 < 9, 5, id % 40) as i", "cast(id % 11 as double) as s")
+    got = {(r.g, r.i, r["rank"], r.score) for r in topn.top_n(df, "g", "i", "s", 3, 1000).withColumnRenamed("s", "score").collect()}
+    best = defaultdict(dict)
+    for r in df.collect():
+        best[r.g][r.i] = max(r.s, best[r.g].get(r.i, r.s))
+    assert got == {(g, i, k + 1, m[i]) for g, m in best.items() for k, i in enumerate(sorted(m, key=lambda i: (-m[i], i))[:3])}
+    plan = topn.top_n(df, "g", "i", "s", 3, 1000)._jdf.queryExecution().executedPlan().toString()
+    assert "SPARK_PARTITION_ID()" in plan
