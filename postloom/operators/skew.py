@@ -55,8 +55,8 @@ def number_rows(
 
 def _numbered(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], payload: Sequence[str] = (), partitions: int | None = None
-) -> tuple[DataFrame, int]:
-    """The same, and the number of rows."""
+) -> tuple[DataFrame, DataFrame]:
+    """The same, and the written table of all rows, whose number is known from its files."""
     cols = list(dict.fromkeys([*keys, *order, *payload]))
     tie, pos = _fresh("_tie", cols), _fresh("_pos", cols)
     if "row_no" in {c.lower() for c in cols}:
@@ -72,7 +72,7 @@ def _numbered(
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     row_no = F.col("_start") + F.col(pos).bitwiseAND((1 << _POS_BITS) - 1)
-    return placed.join(F.broadcast(starts), part == F.col("_part")).select(*cols, row_no.alias("row_no")), placed.count()
+    return placed.join(F.broadcast(starts), part == F.col("_part")).select(*cols, row_no.alias("row_no")), placed
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -100,10 +100,10 @@ def chunked_group_stats(
     o = {f"o{i}": c for i, c in enumerate(order)}
     s = {f"s{i}": c for i, c in enumerate(sums)}
     slim = df.select(*(df[c].alias(a) for a, c in {**k, **o, **s}.items()))
-    rows, total = _numbered(slim, list(k), list(o), list(s), partitions)
+    rows, placed = _numbered(slim, list(k), list(o), list(s), partitions)
     rows = rows.select(
         *k, F.struct(*k).alias("k"), F.struct(*o).alias("o"), *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in s),
-        F.floor(F.col("row_no") / F.lit(chunk_size(total, chunk_rows))).alias("chunk"), "row_no",
+        F.floor(F.col("row_no") / F.lit(chunk_size(placed.count(), chunk_rows))).alias("chunk"), "row_no",
     )
     w = Window.partitionBy("chunk").orderBy("row_no")
     new = ~(_same(F.col("k"), F.lag("k").over(w)) & _same(F.col("o"), F.lag("o").over(w)))
@@ -135,8 +135,8 @@ def key_ranks(
     A chunk ranks its own rows; only the key it shares with earlier chunks needs a carry, one number per
     chunk, so nothing that grows with the rows of a key reaches a single task.
     """
-    rows, total = _numbered(df, keys, order, payload, partitions)
-    rows = rows.withColumn("_chunk", F.floor(F.col("row_no") / F.lit(chunk_size(total, chunk_rows))))
+    rows, placed = _numbered(df, keys, order, payload, partitions)
+    rows = rows.withColumn("_chunk", F.floor(F.col("row_no") / F.lit(chunk_size(placed.count(), chunk_rows))))
     per = rows.groupBy("_chunk", *keys).agg(F.count(F.lit(1)).alias("_n"))
     b = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = per.withColumn("_carry", F.sum("_n").over(b)).filter("_carry is not null").groupBy("_chunk").agg(
