@@ -170,7 +170,8 @@ def wrong_global_df(index_globals: DataFrame, postings: DataFrame, partitions: i
 
 
 def lookup_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], count_col: str | None = None, min_rows: int = 1_000_000, most: int = 10_000
+    left: DataFrame, right: DataFrame, on: Sequence[str], count_col: str | None = None, min_rows: int = 1_000_000, most: int = 10_000,
+    rows: int | None = None,
 ) -> DataFrame:
     """Left outer join of ``left`` with a lookup table that has one row per key, safe from heavy keys.
 
@@ -178,11 +179,16 @@ def lookup_join(
     ``most`` of them, and only a hash of their keys is broadcast, with the number of salts each needs: the
     rows of a heavy key are spread over that many groups, and its lookup row is copied to each. So no lookup
     row is broadcast, whatever its size, ``left`` is read once, and no key can dominate a task. Without heavy
-    keys it is a plain join. ``count_col`` of ``right`` states the rows per key where they are known already
+    keys it is a plain join, and where ``left`` has at most ``min_rows`` rows (``rows`` states a bound on them; those of
+    a written stage are counted) there can be none. ``count_col`` of ``right`` states the rows per key where they are known already
     (``right`` is then read for them first, so it should be a written table); otherwise they are counted.
     Null keys match nothing.
     """
     on = list(on)
+    if rows is None and hasattr(left, "_stage_path"):
+        rows = left.count()
+    if rows is not None and rows <= min_rows:
+        return left.join(right, on, "left")
     names = [*left.columns, *right.columns]
     cnt, key, salt, salts = (_fresh(c, names) for c in ("_cnt", "_key", "_salt", "_salts"))
     if count_col is None:
