@@ -274,8 +274,8 @@ def leaked(
     own = items.select(items[item_id].alias("i"), items[item_text].alias("t")).filter("i is not null and t is not null").distinct()
     own = own.withColumn("no", F.xxhash64("i", "t"))
     sown = write_stage(spread(own).mapInArrow(sow, f"no long, i {kinds[1]}, span int, m int, s long, ipos array<int>, words binary"), "seeds")
-    forms = sorted({r.span for r in sown.select("span").distinct().collect()})  # at most ``least``
-    n_seeds = sown.count()
+    all_ = sown.agg(F.collect_set("span").alias("spans"), F.count(F.lit(1)).alias("n")).first()
+    forms, n_seeds = sorted(all_["spans"]), all_["n"]  # at most ``least`` spans
     bits = Bloom.size(n_seeds)
     probes = F.array(F.call_function("shiftrightunsigned", F.col("s"), F.lit(64 - bits)), F.col("s").bitwiseAND(F.lit((1 << bits) - 1)))
     set_ = sown.select(F.explode(probes).alias("at")).select(F.shiftright("at", 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int")).alias("b"))
@@ -320,7 +320,8 @@ def leaked(
     rows = spread(docs.select(docs[doc_id].alias("d"), docs[text].alias("t")).filter("d is not null and t is not null"))
     met = write_stage(rows.mapInArrow(scan, f"uid long, d {kinds[0]}, words binary, hits array<struct<s:long,pos:array<int>>>"), "met")
     hits = met.select("uid", F.explode("hits").alias("x")).select("uid", "x.s", "x.pos").dropDuplicates(["uid", "s"])
-    joined = lookup_join(hits, sown.select("s", "no", "ipos"), ["s"], None, 100_000).filter("no is not null")
+    n_hits = met.agg(F.sum(F.size("hits"))).first()[0] or 0
+    joined = lookup_join(hits, sown.select("s", "no", "ipos"), ["s"], None, 100_000, rows=n_hits).filter("no is not null")
     # the diagonals that equal seeds name; all in between where there are very many pairs of positions
     listed = F.array_distinct(F.flatten(F.transform("pos", lambda p: F.transform("ipos", lambda q: p - q))))
     spanned = F.sequence(F.array_min("pos") - F.array_max("ipos"), F.array_max("pos") - F.array_min("ipos"))

@@ -214,7 +214,7 @@ def _forms(entries: DataFrame, strict: bool) -> DataFrame:
         return pd.Series([f if u is None else rewrite(f, {x["token"]: x["result"] for x in u}) for f, u in zip(forms, used, strict=True)])
 
     clean = staged.filter(F.size("dirty") == 0).select("field", "id", "raw", "form")
-    dirty = lookup_join(staged.filter(F.size("dirty") > 0).select("field", "id", "raw", "form"), use, ["raw"], None, 10_000)
+    dirty = lookup_join(staged.filter(F.size("dirty") > 0).select("field", "id", "raw", "form"), use, ["raw"], None, 10_000, rows=staged.count())
     return clean.unionByName(dirty.select("field", "id", "raw", rewritten("form", "use").alias("form")))
 
 

@@ -30,14 +30,16 @@ def top_n(
     """
     rows = df.select(df[group].alias("g"), df[item].alias("i"), df[score].cast("double").alias("s"))
     rows = rows.filter(F.col("g").isNotNull() & F.col("i").isNotNull() & F.col("s").isNotNull() & ~F.isnan("s"))
-    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    size = F.greatest(F.lit(rows_per_subgroup), F.coalesce(sizes.agg(F.ceil(F.sum("n") / most_split)).scalar(), F.lit(0)))
-    split = sizes.filter(F.col("n") > size).select("g", F.ceil(F.col("n") / size).alias("parts"))
-    split = F.broadcast(write_stage(split, "split"))
-    # per task of the scan one row of an item is left before the shuffle; the task's number spreads them after it
-    large = rows.join(split, "g").groupBy("g", "i", "parts", F.spark_partition_id().alias("task")).agg(F.max("s").alias("s"))
-    large = large.select("g", F.pmod(F.xxhash64("i"), F.col("parts")).cast("int").alias("salt"), "i", "s")
-    salted = rows.join(split, "g", "left_anti").select("g", F.lit(0).alias("salt"), "i", "s").unionByName(large)
+    sizes = write_stage(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    total, largest = sizes.agg(F.sum("n"), F.max("n")).first()
+    size = max(rows_per_subgroup, -(-(total or 0) // most_split))
+    salted = rows.withColumn("salt", F.lit(0))
+    if largest and largest > size:
+        split = F.broadcast(write_stage(sizes.filter(F.col("n") > size).select("g", F.ceil(F.col("n") / size).alias("parts")), "split"))
+        # per task of the scan one row of an item is left before the shuffle; the task's number spreads them after it
+        large = rows.join(split, "g").groupBy("g", "i", "parts", F.spark_partition_id().alias("task")).agg(F.max("s").alias("s"))
+        large = large.select("g", "i", "s", F.pmod(F.xxhash64("i"), F.col("parts")).cast("int").alias("salt"))
+        salted = salted.join(split, "g", "left_anti").unionByName(large)
     # one exchange serves the dedup of items and the ranking within subgroups
     best = salted.repartition("g", "salt").groupBy("g", "salt", "i").agg(F.max("s").alias("s"))
     order = [F.col("s").desc(), F.col("i").asc()]
