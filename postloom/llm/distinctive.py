@@ -21,6 +21,7 @@ from postloom.session import drop_stage, write_stage
 OWN = 0.1  # share of the document's own model in the mixture
 TOLERANCE = 1e-7
 ITERATIONS = sys.maxsize  # none but the tolerance ends the steps
+_TINY = 1e-200
 LARGE = 1_000_000  # postings of a document beyond which it is not gathered into one task
 
 
@@ -58,19 +59,30 @@ def em(starts: np.ndarray, tf: np.ndarray, background: np.ndarray, own: float =
     total = np.add.reduceat(tf, starts)
     lens = np.diff(np.append(starts, len(tf)))
     p = tf / np.repeat(np.where(total > 0, total, 1), lens)
-    live = np.flatnonzero(total > 0)
-    for _ in range(iterations):
-        if not len(live):
-            break
+    live, steps = np.flatnonzero(total > 0), 0
+    while len(live) and steps < iterations:
+        # the documents still moving, side by side, until a quarter of them has come to rest
         ln = lens[live]
         s = np.cumsum(ln) - ln
-        at = np.repeat(starts[live] - s, ln) + np.arange(ln.sum())
-        old = p[at]
-        mixed = own * old
-        e = tf[at] * mixed / (mixed + (1 - own) * background[at])
-        new = e / np.repeat(np.add.reduceat(e, s), ln)
-        p[at] = new
-        live = live[np.maximum.reduceat(np.abs(new - old), s) > tolerance]
+        own_no = np.repeat(np.arange(len(live)), ln)
+        at = starts[live][own_no] + np.arange(ln.sum()) - s[own_no]
+        x, t, rest = p[at], tf[at], (1 - own) * background[at]
+        done = np.zeros(len(live), bool)
+        while steps < iterations and 4 * np.count_nonzero(done) <= len(done) and not done.all():
+            mixed = own * x
+            e = t * mixed / (mixed + rest)
+            new = e / np.add.reduceat(e, s)[own_no]
+            ended = (np.maximum.reduceat(np.abs(new - x), s) <= tolerance) & ~done
+            x, steps = new, steps + 1
+            if ended.any():
+                kept = ended[own_no]
+                p[at[kept]] = x[kept]
+                done |= ended
+            if steps % 64 == 0:
+                x[x < _TINY] = 0.0  # denormal numbers are slow
+        moving = ~done[own_no]
+        p[at[moving]] = x[moving]
+        live = live[~done]
     return p
 
 
@@ -154,6 +166,6 @@ def parsimonious(
 
 
 def _gathered(rows: DataFrame, own: float, tolerance: float, iterations: int) -> DataFrame:
-    ordered = rows.repartition("build_id", "doc_id").sortWithinPartitions("build_id", "doc_id", "term")
+    ordered = rows.repartition("build_id", "doc_id").sortWithinPartitions("build_id", "doc_id")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select("build_id", "doc_id", "term").schema)
     return ordered.mapInArrow(_em_batches(own, tolerance, iterations), schema + ", p double")
