@@ -32,6 +32,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return every.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"), F.min("pos").alias("first_pos"))
 
 
+FEW_TERMS = 200  # terms that are sought one by one; build_session lets as many be pushed down to Parquet
 MOST_TERMS = 50_000  # (query, term) rows that are brought to the driver and sent out with the plan
 
 
@@ -48,6 +49,13 @@ def asked(queries: DataFrame, most: int = MOST_TERMS) -> tuple[DataFrame, list[s
     return local, sorted(set(some["term"]))
 
 
+def holding(df: DataFrame, words: list[str]) -> DataFrame:
+    """The rows that may hold one of some terms, by what the scan can skip: each term if they are few, else their range."""
+    if len(words) <= FEW_TERMS:
+        return df.filter(F.col("term").isin(words))
+    return df.filter(F.col("term").between(words[0], words[-1]))
+
+
 def scores(index: Index, queries: DataFrame, k1: float = K1, b: float = B, counts: DataFrame | None = None, most: int = MOST_TERMS) -> DataFrame:
     """(query_id, doc_id, score, first_pos) of every document that holds a term of the query.
 
@@ -59,7 +67,7 @@ def scores(index: Index, queries: DataFrame, k1: float = K1, b: float = B, count
     terms, words = asked(queries, most)
     post, df = index.postings, index.df if counts is None else counts
     if words is not None:
-        post, df = post.filter(F.col("term").isin(words)), df.filter(F.col("term").isin(words))
+        post, df = holding(post, words), holding(df, words)
     weighed = terms.join(df, "term").crossJoin(index.stats).filter("avgdl > 0")  # one row of statistics
     weighed = weighed.select("query_id", "term", "first_pos", "avgdl", (F.col("times") * idf(F.col("n"), F.col("df"))).alias("w"))
     hits = post.join(weighed if words is None else F.broadcast(weighed), "term")  # at most as many rows as query terms
@@ -107,10 +115,10 @@ def idf_table(index: Index) -> DataFrame:
 def lookup(index: Index, terms: DataFrame, most: int = MOST_TERMS) -> DataFrame:
     """(term, df, doc_id, tf) of the given terms, one row per posting; a term that is not there has one row of 0 documents."""
     wanted = terms.select("term").distinct()
-    words = [r.term for r in wanted.limit(most + 1).collect()]
+    words = sorted(r.term for r in wanted.limit(most + 1).collect())
     post, df = index.postings, index.df
     if len(words) <= most:
-        post, df = post.filter(F.col("term").isin(words)), df.filter(F.col("term").isin(words))
+        post, df = holding(post, words), holding(df, words)
         wanted = F.broadcast(wanted)
     own = post.join(wanted, "term", "left_semi").select("term", "doc_id", "tf")
     known = wanted.join(df, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))

@@ -45,6 +45,7 @@ def build_session(app: str = "postloom", cpus: int | str = "*", shuffle_partitio
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.parquet.pushdown.inFilterThreshold", "200")
         .config("spark.driver.memory", os.environ.get("POSTLOOM_DRIVER_MEMORY", "8g"))
     )
     for k, v in conf.items():
