@@ -117,13 +117,21 @@ def _term(word: str) -> str | None:
     return word[:-1] if len(word) > MIN_STEM and word[-1] == "e" else word
 
 
+def without_marks(text: str) -> str:
+    """A text without its combining marks; each of the few that it has is taken out in one go."""
+    for c in set(text):
+        if unicodedata.combining(c):
+            text = text.replace(c, "")
+    return text
+
+
 def analyze_text(text: str | None) -> list[str]:
     """The analysis of one text in Python."""
     if not text:
         return []
     plain = text.lower()
     if not plain.isascii():
-        plain = "".join(c for c in unicodedata.normalize("NFKD", plain) if not unicodedata.combining(c))
+        plain = without_marks(unicodedata.normalize("NFKD", plain))
     return [t for t in map(_term, re.findall(r"\w+", plain)) if t is not None]
 
 

@@ -60,3 +60,12 @@ def test_pages():
     p = read_page("<title>T &amp; U</title><p>a<b>b</b></p><script>x</script><svg><a href='/no'>s</a></svg><a href='/x'>L</a><a href='mailto:q'>m</a><a href='#f'>f</a>", "https://h/d/")
     assert p == {"title": "T & U", "text": "T & U a b L m f", "links": ["https://h/x"]}
     assert read_page(None, None) == {"title": "", "text": "", "links": []}
+
+
+@given(st.text(alphabet=st.characters(max_codepoint=0x1FFFF), max_size=40))
+def test_marks_are_taken_out(text):
+    import unicodedata
+
+    from postloom.functions.analyze import without_marks
+
+    assert without_marks(text) == "".join(c for c in text if not unicodedata.combining(c))
