@@ -42,11 +42,10 @@ def asked(queries: DataFrame, most: int = MOST_TERMS) -> tuple[DataFrame, list[s
     The queries are analysed once: few rows become part of the plan, more are written.
     """
     rows = query_terms(queries)
-    some = rows.coalesce(1).limit(most + 1).toPandas()  # one task reads on until it has as many
-    if len(some) > most:
+    some = rows.coalesce(1).limit(most + 1).toArrow()  # one task reads on until it has as many
+    if some.num_rows > most:
         return write_stage(rows, "asked"), None
-    local = rows.sparkSession.createDataFrame(some, rows.schema) if len(some) else rows.sparkSession.createDataFrame([], rows.schema)
-    return local, sorted(set(some["term"]))
+    return rows.sparkSession.createDataFrame(some, rows.schema), sorted(set(some.column("term").to_pylist()))
 
 
 def holding(df: DataFrame, words: list[str]) -> DataFrame:

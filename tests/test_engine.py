@@ -340,3 +340,9 @@ def test_coordinator_stats(spark, engine):
     got = engine.coordinator_stats(spark.createDataFrame(log, "shard string, seq long, ts double, op string"))
     assert got["shards"] == ["shard-0", "shard-1", "shard-2"] and got["breakers"]["shard-0"] == {"state": "open", "consecutive_failures": 3}
     assert got["breakers"]["shard-1"] == got["breakers"]["shard-2"] == {"state": "closed", "consecutive_failures": 0}
+
+
+def test_null_and_large_query_ids(spark, engine):
+    rows = [(None, "distributed"), ((1 << 62) + 1, "running systems"), (7, None), (8, "")]
+    got = rank.scores(engine.index, spark.createDataFrame(rows, "query_id long, query string"))
+    assert {r.query_id for r in got.collect()} == {None, (1 << 62) + 1}

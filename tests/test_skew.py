@@ -82,3 +82,22 @@ def test_lookup_join_keeps_every_row(spark, rows, most):
     right = spark.createDataFrame([("big", 1), ("b", 2), ("k1", 3), ("nowhere", 4)], "k string, v int")
     want = sorted(map(tuple, left.join(right, "k", "left").collect()), key=repr)
     assert sorted(map(tuple, skew.lookup_join(left, right, ["k"], None, rows, most).collect()), key=repr) == want
+
+
+@pytest.mark.parametrize("counted", [True, False])
+def test_lookup_join_of_heavy_keys_with_several_rows(spark, counted):
+    """A heavy key that has several lookup rows meets each of them with every row, once."""
+    left = spark.range(900).selectExpr("if(id % 3 < 2, 'big', concat('k', id % 50)) as k", "id", "id % 5 as v")
+    right = spark.createDataFrame([("big", 1, 600), ("big", 2, 600), ("k1", 3, 6), ("none", 4, 0), (None, 5, 0)], "k string, w int, n int")
+    got = skew.lookup_join(left, right, ["k"], "n" if counted else None, min_rows=20, most=100)
+    plain = left.join(right, ["k"], "left")
+    assert set(got.columns) == set(plain.columns)
+    rows = sorted(tuple(r) for r in got.select(plain.columns).fillna(-1).collect())
+    assert rows == sorted(tuple(r) for r in plain.fillna(-1).collect()) and len(rows) == 600 * 2 + 300
+
+
+def test_small_join_beyond_its_bound(spark):
+    left, right = spark.range(40).selectExpr("id % 7 as k", "id"), spark.range(5).selectExpr("id as k", "id * 2 as w")
+    want = sorted(tuple(r) for r in left.join(right, ["k"], "left").fillna(-1).collect())
+    for most in (100, 2):
+        assert sorted(tuple(r) for r in skew.small_join(left, right, ["k"], most).fillna(-1).collect()) == want
