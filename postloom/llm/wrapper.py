@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,9 @@ from postloom.llm.dom import Node, parse, written
 from postloom.operators.skew import lookup_join
 from postloom.session import spread, write_stage
 
-EXACT = 250_000  # pairs of nodes that are compared exactly; larger forests are aligned part by part
-PART = 20_000  # pairs of siblings that are compared at once
+FEW = 2_000  # pairs of nodes that are compared one by one; of more, a node is compared with a whole level at once
+HELD = 1 << 28  # pairs of siblings whose steps are held at once
+_NEVER = -(1 << 62)
 _SLICE = 256  # pages that are lists in Python at once
 _NODE = "array<struct<depth:int,tag:string,body:string>>"
 
@@ -47,18 +49,118 @@ class Tree:
             self.same[i] = hash((self.tags[i], self.bodies[i], tuple(self.same[k] for k in self.kids[i])))
 
 
-def simple_tree_matching(a: Tree, b: Tree, exact: int = EXACT, part: int = PART) -> tuple[int, list[tuple[int, int]]]:
+class _Levels:
+    """A tree level by level, to compare one node of another tree with all nodes of a level at once.
+
+    A level holds the children of each node above it as a row of cells, after one cell that stands for none of them.
+    The worth of a match is its size times ``unit``, plus its pairs of equal text. The rows of a level lie in one array, each
+    raised above all that the rows before it can be worth, so a running maximum over the array never leaves a row.
+    What subtrees of more than 1/64 of all nodes are worth is kept (at most 64 numbers a cell), or else each level of
+    aligned nodes would take it again.
+    """
+
+    def __init__(self, a: Tree, b: Tree):
+        self.a, self.unit = a, min(len(a.tags), len(b.tags)) + 1
+        self.kept: dict[int, tuple[int, int, np.ndarray]] = {}
+        tags, bodies = ({t: i for i, t in enumerate(dict.fromkeys(z))} for z in (b.tags, b.bodies))
+        self.tag_of = [tags.get(t, -2) for t in a.tags]
+        self.body_of = [bodies.get(s, -2) if s else -2 for s in a.bodies]
+        self.level_of, self.cell_of = [0] * len(b.tags), [0] * len(b.tags)
+        # of each level: the tag and the body of every cell (-1: no node), the nodes before it, its raise; the cell of every node;
+        # the first cell, the last one and the raise of every row
+        self.levels: list[tuple[np.ndarray, ...]] = []
+        rows, sizes = [b.roots], [len(b.tags) + 1]
+        while any(rows):
+            counts = np.array([len(r) for r in rows])
+            nodes = [q for r in rows for q in r]
+            ends = np.cumsum(counts + 1)
+            cells = np.arange(len(nodes)) + np.repeat(np.arange(len(rows)), counts) + 1
+            tag, body = np.full(ends[-1], -1), np.full(ends[-1], -1)
+            tag[cells], body[cells] = [tags[b.tags[q]] for q in nodes], [bodies[b.bodies[q]] for q in nodes]
+            before = np.concatenate([[0], np.cumsum(tag >= 0)])
+            raised = (np.cumsum(sizes) - sizes) * self.unit
+            for q, cell in zip(nodes, cells.tolist(), strict=True):
+                self.level_of[q], self.cell_of[q] = len(self.levels), cell
+            self.levels.append((tag, body, before, np.repeat(raised, counts + 1), cells, np.concatenate([[0], ends]), ends - 1, raised))
+            rows, sizes = [b.kids[q] for q in nodes], [b.sizes[q] for q in nodes]
+
+    def worth(self, p: int, level: int, lo: int, hi: int) -> np.ndarray | None:
+        """What matching the subtree of ``p`` with that of each cell is worth; nothing if no cell has its tag."""
+        if p in self.kept and self.kept[p][0] <= lo and hi <= self.kept[p][1]:
+            at, _, out = self.kept[p]
+            return out[lo - at : hi - at]
+        tag, body, before, _, cells, *_ = self.levels[level]
+        hit = tag[lo:hi] == self.tag_of[p]
+        if not hit.any():
+            return None
+        out = np.where(hit, self.unit, _NEVER)
+        if self.body_of[p] >= 0:
+            out += body[lo:hi] == self.body_of[p]
+        if self.a.kids[p] and level + 1 < len(self.levels):
+            _, _, _, raises, _, first, last, raised = self.levels[level + 1]
+            i, j = before[lo], before[hi]
+            start, stop = first[i], first[j]
+            if stop - start > j - i:  # some of them have children
+                w = raises[start:stop].copy()
+                for k in self.a.kids[p]:
+                    if (v := self.worth(k, level + 1, start, stop)) is not None:
+                        np.maximum(w[1:], w[:-1] + v[1:], out=w[1:])
+                        np.maximum.accumulate(w, out=w)
+                out[cells[i:j] - lo] += w[last[i:j] - start] - raised[i:j]
+        if 64 * self.a.sizes[p] > len(self.a.tags):
+            self.kept[p] = lo, hi, out
+        return out
+
+    def align(self, x: list[int], y: list[int], held: int) -> list[tuple[int, int]]:
+        """Pairs of siblings of the match of most worth. The steps of some rows are held at once, those of others taken again."""
+        level, lo = self.level_of[y[0]], self.cell_of[y[0]]
+        height = max(held // len(y), isqrt(32 * len(x))) + 1
+        heads = [np.zeros(len(y) + 1, np.int64)]
+
+        def below(w: np.ndarray, v: np.ndarray) -> np.ndarray:
+            out = w.copy()
+            np.maximum(w[1:], w[:-1] + v, out=out[1:])
+            return np.maximum.accumulate(out, out=out)
+
+        for at in range(0, len(x) - height, height):
+            w = heads[-1]
+            for p in x[at : at + height]:
+                if (v := self.worth(p, level, lo, lo + len(y))) is not None:
+                    w = below(w, v)
+            heads.append(w)
+        j, got = len(y), []
+        while heads and j:
+            w = heads.pop()[: j + 1]
+            steps = []
+            for p in x[len(heads) * height : (len(heads) + 1) * height]:
+                if (v := self.worth(p, level, lo, lo + len(w) - 1)) is not None:
+                    above, w = w, below(w, v)
+                    steps.append((p, np.packbits(w[1:] == above[:-1] + v), np.packbits(w[1:] == above[1:])))
+            for p, taken, kept in reversed(steps):
+                while j:
+                    byte, bit = (j - 1) >> 3, 128 >> ((j - 1) & 7)
+                    if taken[byte] & bit:
+                        j -= 1
+                        got.append((p, y[j]))
+                        break
+                    if kept[byte] & bit:
+                        break
+                    j -= 1
+        return got[::-1]
+
+
+def simple_tree_matching(a: Tree, b: Tree, exact: int = FEW, part: int = HELD) -> tuple[int, list[tuple[int, int]]]:
     """Size of a largest top-down, order-keeping match of two forests, and the matched pairs of nodes.
 
     Nodes match if their tags are equal; among equal matches, nodes of equal text are preferred as far as that
     does not make the match smaller. Equal subtrees at both ends are matched first, which loses nothing. Forests of
-    more than ``exact`` pairs of nodes are aligned child by child, by tags and equal subtrees, before the children of
-    aligned ones are; long rows of siblings are cut at subtrees that both have once, or else in halves. So the
-    time stays bounded, and a node that finds no partner is left over, never dropped.
+    any size are compared whole: those of up to ``exact`` pairs of nodes pair by pair, larger ones a node and a level at a
+    time, with the steps of about ``part`` pairs of siblings held at once. Neither number changes the match. The time grows with
+    the product of both sizes, the memory with what is held and with the size of ``b``.
     """
 
-    def align(x: list[int], y: list[int], deep: bool) -> list[tuple[int, int]]:
-        """Pairs of children, by the size of their match if ``deep``, or by their tags and equal subtrees."""
+    def align(x: list[int], y: list[int]) -> list[tuple[int, int]]:
+        """Pairs of siblings, by the size of their match."""
         w = [[(0, 0)] * (len(y) + 1) for _ in range(len(x) + 1)]
         value: dict[tuple[int, int], tuple[int, int]] = {}
         for i, p in enumerate(x):
@@ -66,12 +168,8 @@ def simple_tree_matching(a: Tree, b: Tree, exact: int = EXACT, part: int = PART)
             for j, q in enumerate(y):
                 best = max(above[j + 1], row[j])
                 if a.tags[p] == b.tags[q]:
-                    if deep:
-                        n, e, _ = match(a.kids[p], b.kids[q])
-                        v = (n + 1, e + (a.bodies[p] == b.bodies[q] != ""))
-                    else:
-                        v = (1, (a.same[p] == b.same[q]) * 2 + (a.bodies[p] == b.bodies[q] != ""))
-                    value[i, j] = v
+                    n, e, _ = match(a.kids[p], b.kids[q])
+                    v = value[i, j] = (n + 1, e + (a.bodies[p] == b.bodies[q] != ""))
                     best = max(best, (above[j][0] + v[0], above[j][1] + v[1]))
                 row[j + 1] = best
         i, j, got = len(x), len(y), []
@@ -86,23 +184,16 @@ def simple_tree_matching(a: Tree, b: Tree, exact: int = EXACT, part: int = PART)
                 j -= 1
         return got[::-1]
 
-    def in_parts(x: list[int], y: list[int]) -> list[tuple[int, int]]:
-        if len(x) * len(y) <= part:
-            return align(x, y, False)
-        once_x, once_y = (Counter(t.same[k] for k in z) for t, z in ((a, x), (b, y)))
-        at = {b.same[q]: j for j, q in enumerate(y) if once_y[b.same[q]] == 1}
-        got, i0, j0 = [], 0, 0
-        for i, p in enumerate(x):
-            j = at.get(a.same[p], -1)
-            if j >= j0 and once_x[a.same[p]] == 1:
-                got += [*in_parts(x[i0:i], y[j0:j]), (p, y[j])]
-                i0, j0 = i + 1, j + 1
-        if i0:
-            return got + in_parts(x[i0:], y[j0:])
-        i, j = len(x) // 2, len(y) // 2
-        if not i or not j:  # one node against many
-            return [(p, q) for p in x for q in y if a.tags[p] == b.tags[q]][:1]
-        return in_parts(x[:i], y[:j]) + in_parts(x[i:], y[j:])
+    levels: _Levels | None = None
+
+    def align_levels(x: list[int], y: list[int]) -> list[tuple[int, int]]:
+        nonlocal levels
+        both = {a.tags[p] for p in x} & {b.tags[q] for q in y}
+        xs, ys = [p for p in x if a.tags[p] in both], [q for q in y if b.tags[q] in both]
+        if len(xs) == len(both) and [a.tags[p] for p in xs] == [b.tags[q] for q in ys]:
+            return list(zip(xs, ys, strict=True))  # each has one partner at most, and none cross
+        levels = levels or _Levels(a, b)
+        return levels.align(x, y, part)
 
     known: dict[tuple[int, int, int, int], tuple[int, int, list]] = {}
 
@@ -132,10 +223,12 @@ def simple_tree_matching(a: Tree, b: Tree, exact: int = EXACT, part: int = PART)
             add(equal(x[hx], y[hy]))
         xs, ys = x[lo:hx], y[lo:hy]
         if xs and ys:
-            small = sum(a.sizes[p] for p in xs) * sum(b.sizes[q] for q in ys) <= exact
-            for p, q in align(xs, ys, True) if small else in_parts(xs, ys):
+            few = sum(a.sizes[p] for p in xs) * sum(b.sizes[q] for q in ys) <= exact
+            for p, q in align(xs, ys) if few else align_levels(xs, ys):
                 add((1, a.bodies[p] == b.bodies[q] != "", [(p, q)]))
                 add(match(a.kids[p], b.kids[q]))
+                if not few:
+                    known.clear()  # no other pair asks for what lies below this one
         known[key] = (n, e, pairs)
         return known[key]
 

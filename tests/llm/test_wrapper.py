@@ -53,6 +53,38 @@ def test_matching_is_the_largest():
         assert m == len(parts) <= n and all(a[i][:2] == b[j][:2] for i, j in parts) and [j for _, j in parts] == sorted(j for _, j in parts)
 
 
+def test_large_forests_get_the_largest_match():
+    """Rows of siblings on both sides of 250,000 pairs: the match is a longest common subsequence of the tags."""
+    r = random.Random(3)
+    for size in (480, 520, 700):
+        a, b = ([(0, r.choice(("p", "h2", "li")), str(r.randrange(40))) for _ in range(size)] for _ in range(2))
+        row = [0] * (size + 1)
+        for _, tag, _ in a:
+            above, row = row, [0]
+            for j, (_, other, _) in enumerate(b):
+                row.append(above[j] + 1 if tag == other else max(above[j + 1], row[j]))
+        n, pairs = _match(a, b)
+        assert n == len(pairs) == row[-1] and all(a[i][1] == b[j][1] for i, j in pairs)
+        assert all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:]))
+
+
+def test_the_match_does_not_depend_on_how_it_is_computed():
+    r = random.Random(4)
+    for k in range(150):
+        a, b = _forest(r), _forest(r)
+        if k % 5 == 0:  # long rows, whose steps are held block by block
+            a, b = (z + [(0, r.choice("abc"), r.choice("st")) for _ in range(r.randrange(100, 300))] for z in (a, b))
+        want = _match(a, b, exact=10**9)
+        for kw in ({}, {"exact": 0}, {"exact": 0, "part": 0}, {"exact": r.randrange(200), "part": r.randrange(500)}):
+            assert _match(a, b, **kw) == want
+
+
+def test_deep_pages_are_aligned_once():
+    a, b = ([(d, "div", str(k * d) if k else "") for d in range(dom.MOST_DEPTH) for k in (s, 0)] + [(dom.MOST_DEPTH, "p", str(i * s)) for i in range(4000)] for s in (1, 2))
+    began = time.time()
+    assert _match(a, b)[0] == len(a) and time.time() - began < 10
+
+
 @pytest.mark.parametrize("shape", ["rows", "nested", "deep"])
 def test_large_pages_are_aligned_in_bounded_time(shape):
     r = random.Random(1)
@@ -152,3 +184,12 @@ def test_shared_blocks_of_wiki_pages_are_found_and_taken_out(spark):
     df = spark.createDataFrame(rows, "k int, h int, t string")
     got = {x.k: (x.n_template, x.content) for x in wrapper.induce_wrappers(df, "k", "h", "t").collect()}
     assert sum(got[i] == truth[i] for i in truth) >= 0.97 * len(truth)
+
+
+def test_template_of_large_pages_is_found(spark):
+    """600 lines that three pages share, after more and more lines of their own."""
+    shared = "".join(f"<p>Part {i % 7}</p>" for i in range(600))
+    rows = [(k, "h", "".join(f"<p>own {k} {i}</p>" for i in range(60 * k + 1)) + shared + f"<p>end {k}</p>") for k in range(3)]
+    got = {x.k: x for x in wrapper.induce_wrappers(spark.createDataFrame(rows, "k int, host string, t string"), "k", "host", "t").collect()}
+    assert all(got[k].n_template == 600 and "Part" not in got[k].content for k in range(3))
+    assert all(got[k].content.count("own") == 60 * k + 1 for k in range(3))
